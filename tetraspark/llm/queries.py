@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html_extract, lm_score, sharding, simhash_dedup, toxicity
+from . import ann, bpe, chat, decontaminate, html_extract, lm_score, sharding, simhash_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -46,12 +44,19 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
-#: The vocabulary of op9; its folder's path is a parameter.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary ``name`` is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), path or f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read(spark, sf_dir, "documents"), path or vocabulary_path())
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_simhash_dedup, op2_hilbert_sharding, op3_html_extraction, op4_toxicity, op5_nearest_neighbours, op6_lm_scoring, op7_chat_formatting, op9_bpe, op10_decontamination)
+    own = (op1_simhash_dedup, op2_hilbert_sharding, op3_html_extraction, op4_toxicity, op5_nearest_neighbours, op6_lm_scoring, op7_chat_formatting, op8_suffix_dedup, op9_bpe, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
