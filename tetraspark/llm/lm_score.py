@@ -94,7 +94,7 @@ def count_ngrams(docs: DataFrame, index, target: str) -> DataFrame:
 def losses(counts: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed unigram probabilities, and the bigram cells' counts, of one side's model."""
     uni = (counts + ADD) / (counts.sum() + ADD * len(counts))
-    return uni, bigrams.astype(np.float64)
+    return uni, bigrams
 
 
 def text_losses(ids: np.ndarray, models: list, context: list) -> tuple[float, float]:
@@ -142,10 +142,18 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
 
 
 def _tables(counts: DataFrame, size: int) -> tuple[list, list]:
-    """The two models from ``counts``: at most size + CELLS rows, read partition by partition as Arrow."""
-    got = counts.toPandas()
-    uni, bi = np.zeros((2, size)), np.zeros((2, CELLS))
-    for kind, table in ((0, uni), (1, bi)):
-        part = got[got["kind"] == kind]
-        table[0][part["key"].to_numpy()], table[1][part["key"].to_numpy()] = part["t"].to_numpy(), part["n"].to_numpy()
+    """The two models from ``counts``: at most size + CELLS rows, packed into bytes by Spark's tasks."""
+
+    def pack(batches):
+        for pdf in batches:
+            for kind in (0, 1):
+                part = pdf[pdf["kind"] == kind]
+                if len(part):
+                    yield pd.DataFrame({"kind": [kind], "k": [part["key"].to_numpy(np.int32).tobytes()], "t": [part["t"].to_numpy(np.int64).tobytes()], "n": [part["n"].to_numpy(np.int64).tobytes()]})
+
+    tables = np.zeros((2, size)), np.zeros((2, CELLS), np.float32)
+    for r in counts.mapInPandas(pack, "kind int, k binary, t binary, n binary").toLocalIterator():
+        key = np.frombuffer(r["k"], np.int32)
+        tables[r["kind"]][0][key], tables[r["kind"]][1][key] = np.frombuffer(r["t"], np.int64), np.frombuffer(r["n"], np.int64)
+    uni, bi = tables
     return [losses(uni[s], bi[s]) for s in (0, 1)], [uni[0], uni[1]]
