@@ -1 +1 @@
-
+"""Terms, quad datasets, updates and the compatibility engine."""

@@ -1 +1 @@
-
+"""SPARQL: parser, algebra and the compiler to DataFrame plans."""
