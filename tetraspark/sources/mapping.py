@@ -60,7 +60,9 @@ def _native(rep: Rep, term: str, df: DataFrame, column: str):
 
 
 class RelationalSource:
-    """Patterns over a list of table views."""
+    """Patterns over a list of table views. No triple is in two graphs, so patterns need no distinct."""
+
+    disjoint = True
 
     def __init__(self, views: list[TableView]):
         self.views = views
@@ -108,28 +110,27 @@ class RelationalSource:
                 out.append((df.select(F.col(v.key).alias("s"), F.lit(pred[1:-1]).alias("p"), obj.alias("o"), F.lit(v.graph[1:-1]).alias("g")), reps))
         return out
 
-    def star(self, s, pairs: list, graphs):
-        """All (predicate, object constant or None) of one subject in one scan: (frame, reps) or None.
+    def star(self, s, pairs: list, graphs) -> list[tuple[DataFrame, dict[str, Rep]]]:
+        """All (predicate, object constant or None) of one subject in one scan of each table that has them all.
 
-        The frame has columns s, o0, o1, ... and g. Only where exactly one table offers them all.
+        Frames have columns s, o0, o1, ... and g. Subjects of two tables never meet, so a table
+        without one of the predicates has no part in the answer.
         """
-        fits = []
+        out = []
         for v in self.views:
             by = {TYPE: None} | {x.predicate: x for x in v.properties}
-            if (graphs is None or v.graph in graphs) and any(p in by for p, _ in pairs):
-                fits.append((v, by))
-        if len(fits) != 1 or not all(p in fits[0][1] for p, _ in pairs):
-            return None
-        v, by = fits[0]
-        df = self._rows(v, s, [(by[p], o) for p, o in pairs])
-        if df is None:
-            return None
-        cols, reps = [F.col(v.key).alias("s"), F.lit(v.graph[1:-1]).alias("g")], {"s": Rep("iri", v.prefix), "g": Rep("iri", "")}
-        for i, (p, _) in enumerate(pairs):
-            prop = by[p]
-            cols.append((F.lit(v.cls[1:-1]) if prop is None else F.col(prop.column)).alias(f"o{i}"))
-            reps[f"o{i}"] = Rep("iri", "") if prop is None else prop.rep
-        return df.select(*cols), reps
+            if graphs is not None and v.graph not in graphs or not all(p in by for p, _ in pairs):
+                continue
+            df = self._rows(v, s, [(by[p], o) for p, o in pairs])
+            if df is None:
+                continue
+            cols, reps = [F.col(v.key).alias("s"), F.lit(v.graph[1:-1]).alias("g")], {"s": Rep("iri", v.prefix), "g": Rep("iri", "")}
+            for i, (p, _) in enumerate(pairs):
+                prop = by[p]
+                cols.append((F.lit(v.cls[1:-1]) if prop is None else F.col(prop.column)).alias(f"o{i}"))
+                reps[f"o{i}"] = Rep("iri", "") if prop is None else prop.rep
+            out.append((df.select(*cols), reps))
+        return out
 
 
 EX = "http://example.org/"
