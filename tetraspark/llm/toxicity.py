@@ -12,6 +12,7 @@ against it instead, which keeps a flexible model from fitting the unlabelled tex
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,14 +32,36 @@ FOLDS = 5
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
+DENSE = 0.01
 #: How many times as often a feature must occur in positives; features of any topic are near 1.
 LIFT = 4
 
 
+def marks(text: str | None) -> set[str]:
+    """A whole text's distinct words, and the word beginnings that recur in it.
+
+    A beginning that occurs once may be chance; one that occurs twice, and one that makes up the
+    share DENSE of the words as well, are marks of their own, so long texts aren't judged by length.
+    """
+    words = Counter(WORD.findall((text or "").lower()))
+    total = sum(words.values())
+    out = set(words)
+    for n in STEMS:
+        stems: Counter = Counter()
+        for w, k in words.items():
+            if len(w) > n:
+                stems[w[:n]] += k
+        for stem, k in stems.items():
+            if k >= 2:
+                out.add(stem + "*")
+                if k >= DENSE * total:
+                    out.add(stem + "**")
+    return out
+
+
 def features(text: str | None) -> np.ndarray:
-    """Hashed distinct words and word beginnings of a whole text."""
-    words = set(WORD.findall((text or "").lower()))
-    both = words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
+    """Hashed marks of a whole text."""
+    both = marks(text)
     digest = xxhash.xxh32_intdigest
     return np.unique(np.fromiter((digest(w.encode("utf-8", "surrogatepass")) % SPACE for w in both), np.int64, len(both)))
 
@@ -178,9 +201,7 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float]):
 
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            words = set(WORD.findall((text or "").lower()))
-            both = words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
-            out[i] = bias + sum(sorted(filter(None, map(weight, both))))
+            out[i] = bias + sum(sorted(filter(None, map(weight, marks(text)))))
         return pd.Series(1 / (1 + np.exp(-out.clip(-60, 60))))
 
     return of
