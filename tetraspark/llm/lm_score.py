@@ -23,6 +23,8 @@ ship(__name__)
 #: Vocabulary size (the model's parameter), cells that bigrams are counted in, and smoothing.
 VOCABULARY, CELLS = 50_000, 1 << 20
 BIGRAM_WEIGHT, ADD = 0.6, 0.5
+#: Distinct target ids up to which they are broadcast once counted (some 32 bytes each); beyond, the join shuffles.
+SMALL = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -119,7 +121,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
-    marked = own.join(target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("hit", F.lit(True)), "doc_id", "left")
+    targets = durable(target_ids.select("doc_id").where("doc_id is not null").distinct())
+    few = targets.count() <= SMALL  # then texts need not move to meet their marks
+    targets = targets.withColumn("hit", F.lit(True))
+    marked = own.join(F.broadcast(targets) if few else targets, "doc_id", "left")
     marked = marked.select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
     vocab = vocabulary(own)
     index = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocab)})
