@@ -15,7 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +77,10 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     UNLABELLED; the order of the ids' hashes decides, whatever the size of the tables.
     """
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
+    def of(batches):
+        for b in batches:
+            f = [features(t).astype(np.int32) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
     seen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_fold("doc_id") != 0))
     seen = seen.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -94,7 +95,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     u = few.join(confirmed, "doc_id", "left_anti").distinct().orderBy("o", "doc_id").limit(UNLABELLED)
     chosen = p.select("doc_id", F.lit(1).alias("y")).unionByName(u.select("doc_id", F.lit(0).alias("y")))
     got = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = got.select("doc_id", "y", of("text").alias("f")).collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = got.select("doc_id", "y", "text").mapInArrow(of, f"doc_id {kind}, y int, f array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["f"] for r in rows if r["y"]], [r["f"] for r in rows if not r["y"]], prior
 
@@ -182,27 +184,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float]):
-    """A column function: the score of a whole text, 0 to 1."""
+    """A function of whole texts: their scores, 0 to 1."""
     weights = {int(k): float(v) for k, v in zip(model[0], model[1])}
     bias = model[2]
+    known: dict[str, float] = {}
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        known: dict[str, float] = {}
-        digest = xxhash.xxh32_intdigest
+    def weight(w: str) -> float:
+        got = known.get(w)
+        if got is None:
+            if len(known) > 200_000:
+                known.clear()
+            got = known[w] = weights.get(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % SPACE, 0.0)
+        return got
 
-        def weight(w: str) -> float:
-            got = known.get(w)
-            if got is None:
-                if len(known) > 200_000:
-                    known.clear()
-                got = known[w] = weights.get(digest(w.encode("utf-8", "surrogatepass")) % SPACE, 0.0)
-            return got
-
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            out[i] = bias + sum(sorted(filter(None, map(weight, marks(text)))))
-        return pd.Series(1 / (1 + np.exp(-out.clip(-60, 60))))
+    def of(texts: list) -> np.ndarray:
+        out = np.array([bias + sum(sorted(filter(None, map(weight, marks(t))))) for t in texts], float)
+        return 1 / (1 + np.exp(-out.clip(-60, 60)))
 
     return of
 
@@ -214,14 +211,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     rows that repeat are scored each. Labels, language and source have no part in a score.
     """
     held = F.coalesce(_fold("doc_id") == 0, F.lit(False))
-    out = docs.select("doc_id", held.alias("held_out"), scorer(model)("text").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    of = scorer(model)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose texts are predicted toxic; all columns and repeats are kept."""
-    verdict = scorer(train(docs, labels))
-    name = "__toxic"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, verdict("text")).where(F.col(name) < 0.5).drop(name)
+    of, at = scorer(train(docs, labels)), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(of(b.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
