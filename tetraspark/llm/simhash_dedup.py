@@ -25,6 +25,10 @@ ship(__name__)
 
 #: Values that a bucket's task expands at a time; larger buckets are split by further bits first.
 EXPANDED = 1 << 21
+#: ``keep_one``: words of a shingle, least Jaccard similarity, and MinHash bands. Ball hashing can't reach the some 21
+#: bits that this similarity needs; a pair of exactly 0.8 shares no band once in (1 - 0.8 ** 5) ** -30 = 150,000 pairs.
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 30, 5
 
 
 def text_fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -170,12 +174,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest doc_id, all columns kept.
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of all runs of ``width`` words; a shorter text is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), 42) for i in range(n)], np.uint64))
+
+
+def _key(shingles: np.ndarray) -> int:
+    """64-bit name of a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
+
+
+def _bands(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """One hash for each band of MinHash values."""
+    least = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 12):
+        part = shingles[at : at + (1 << 12)]
+        np.minimum(least, (mult[:, None] * part[None, :] + add[:, None]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _minhashes(docs: DataFrame) -> DataFrame:
+    """(id, tk, key, n, bands) for every row: hash of the text, name and size of its shingle set, band hashes."""
+    rng = np.random.default_rng(42)
+    mult = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+    @F.pandas_udf("struct<key long, n int, bands array<long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"key": [_key(s) for s in sets], "n": [len(s) for s in sets], "bands": [_bands(s, mult, add) if len(s) else [] for s in sets]})
+
+    got = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), of("text").alias("x"))
+    return got.select("id", "tk", "x.key", "x.n", "x.bands")
+
+
+def _similar(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of SIMILARITY or more, by their exact sets."""
+
+    @F.pandas_udf("struct<key long, sh array<long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"key": [_key(s) for s in sets], "sh": [s.view(np.int64) for s in sets]})
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        shared = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+        return pd.Series([c >= SIMILARITY * (len(s) + len(t) - c) - 1e-9 for c, s, t in zip(shared, x, y)], dtype=bool)
+
+    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    one = base.join(asked, "key").groupBy("key").agg(F.min("tk").alias("__tk")).select("__tk")
+    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(one, F.col("tk") == F.col("__tk"), "left_semi").dropDuplicates(["tk"])
+    sets = durable(texts.select(of("text").alias("x")).select("x.key", "x.sh"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
+    return both.where(near("x", "y")).select("a", "b")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for every row: groups linked by five-word shingle similarity of SIMILARITY or more.
+
+    Candidates share a MinHash band and have sizes that allow the similarity; the exact shingle sets
+    decide. First all members of a bucket are compared with its least; then, of buckets that this left
+    in several groups, all pairs across groups. Pairs that earlier links already join aren't compared.
+    """
+    base = durable(_minhashes(docs))
+    one = base.groupBy("key", "n").agg(F.first("bands").alias("bands"))
+    placed = durable(one.select("key", "n", F.explode("bands").alias("v")))
+    shared = placed.groupBy("v").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("v", "a")
+    placed = durable(placed.join(shared, "v"))  # what is alone in its bucket is done with
+    sizes = placed.where("key = a").select("v", F.col("n").alias("m"))
+    star = placed.where("key <> a").join(sizes, "v").where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9)
+    star = durable(star.select("a", F.col("key").alias("b")).distinct())
+    edges = durable(_similar(docs, base, star))
+
+    def rooted(df: DataFrame, cc: DataFrame) -> DataFrame:
+        return df.join(cc.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    split = rooted(placed, components(edges))
+    several = split.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("v")
+    left = durable(split.join(several, "v", "left_semi"))
+    other = left.select("v", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rest = left.join(other, "v").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")))
+    rest = rest.where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9).select(F.col("key").alias("a"), "b").distinct()
+    rest = durable(rest.join(star, ["a", "b"], "left_anti"))
+    cc = components(edges.unionByName(_similar(docs, base, rest)))
+    named = rooted(base.select("id", "key"), cc)
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return named.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row for each group of ``near_groups``: that of the smallest doc_id, all columns kept.
 
     Rows with a null doc_id are kept as they are. Of rows that share the kept doc_id all stay.
     """
-    found = near_duplicates(docs, radius=radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     known = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
     return known.unionByName(docs.where(F.col("doc_id").isNull()))
