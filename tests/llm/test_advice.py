@@ -44,3 +44,31 @@ def test_keep_one_covers_similarity(spark):
             root[q] = p
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} == {find(d) for d in sets}
+
+
+def test_op6_exact_counts(spark, monkeypatch):
+    """Losses are those of a model that counts every word of two or more occurrences and every bigram, over several parts."""
+    from tetraspark.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "PART", 400_000)
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(50_000 + i, " ".join(f"v{rng.randrange(60_000)}" for _ in range(1500))) for i in range(100)] + [(None, "a b"), (None, None), (7, "")]
+    good = {d for d, _ in rows if d is not None and d % 3 == 0}
+    texts = [lm_score.words_of(t) for _, t in rows]
+    often = Counter(w for t in texts for w in t)
+    ids = [[0, *(w if often[w] > 1 else 1 for w in t), 0] for t in texts]
+    size, want = sum(n > 1 for n in often.values()) + 2, []
+    for side in (good, None):
+        own = [x for x, (d, _) in zip(ids, rows) if side is None or d in side]
+        uni, bi = Counter(w for x in own for w in x[1:]), Counter(p for x in own for p in zip(x, x[1:]))
+        total = sum(uni.values())
+        p1 = lambda w: (uni[w] + 0.5) / (total + 0.5 * size)  # noqa: B023, E731
+        want.append([np.mean([-np.log(0.4 * p1(b) + 0.6 * (bi[a, b] / uni[a] if uni[a] else p1(b))) for a, b in zip(x, x[1:])]) for x in ids])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ask = spark.createDataFrame([(d,) for d in good], "doc_id long")
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.cross_entropy_difference(docs, ask).collect()), key=key)
+    expect = sorted(((d, len(t), x, y) for (d, _), t, x, y in zip(rows, texts, *want)), key=key)
+    assert [g[:2] for g in got] == [e[:2] for e in expect]
+    assert np.allclose([g[2:] for g in got], [e[2:] for e in expect], rtol=1e-9)

@@ -1,10 +1,11 @@
 """Cross-entropy difference between matched n-gram models of a target and of the background.
 
-Both models are interpolated bigram models over one vocabulary: the words that occur at least twice
-in the whole background, of which the most frequent are kept up to a documented size, and one
-unknown word. Target and background are matched by weighting: each model's counts are divided by its
-own number of tokens before smoothing. Bigrams are counted in a fixed number of hash cells, so both
-models together have a size that doesn't depend on the corpus, while the counts cover all of it.
+Both models are interpolated bigram models over one vocabulary: all words that occur at least twice
+in the whole background, and one unknown word. Target and background are matched by weighting: each
+model's counts are divided by its own number of tokens before smoothing. Words and bigrams are named
+by 64-bit hashes. Their counts stay in distributed tables that grow with the corpus: each part of the
+documents adds up what it holds, the sums over all parts go back to the parts that asked, and only
+totals reach the driver.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable, ship
 
 ship(__name__)
 
-#: Vocabulary size (the model's parameter), cells that bigrams are counted in, and smoothing.
-VOCABULARY, CELLS = 50_000, 1 << 20
+#: Smoothing, and characters of text in a part.
 BIGRAM_WEIGHT, ADD = 0.6, 0.5
+PART = 12_000_000
 #: Distinct target ids up to which they are broadcast once counted (some 32 bytes each); beyond, the join shuffles.
 SMALL = 2_000_000
+#: Names of the mark at both ends of a text and of the unknown word.
+MARK, UNKNOWN = 0, 1
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -33,81 +38,54 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The VOCABULARY most frequent words with two or more occurrences in all texts, ties by word.
+def token_ids(text: str | None, names: dict[str, int]) -> np.ndarray:
+    """Names of a text's words between two marks; ``names`` remembers those already hashed."""
+    words = words_of(text)
+    out = np.full(len(words) + 2, MARK, np.int64)
+    for w in words:
+        if w not in names:
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
+            names[w] = h - (1 << 64) if h >> 63 else h
+    out[1:-1] = [names[w] for w in words]
+    return out
 
-    Words are counted in Spark over all rows; only the list, bounded by VOCABULARY, is collected.
-    """
 
-    def count(batches):
-        for pdf in batches:
-            n: dict[str, int] = {}
-            for t in pdf["text"]:
-                for w in words_of(t):
-                    n[w] = n.get(w, 0) + 1
-            yield pd.DataFrame({"w": list(n), "n": list(n.values())}, columns=["w", "n"])
+def bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit names of the bigrams (a, b)."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-    got = docs.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in got.where("n >= 2").orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w").collect()]
 
-
-def token_ids(text: str | None, index: dict[str, int]) -> np.ndarray:
-    """Ids of a text's words between two 0 marks; unknown words are 1."""
-    words = words_of(text)
-    out = np.zeros(len(words) + 2, np.int64)
-    get = index.get
-    out[1:-1] = [get(w, 1) for w in words]
-    return out
+def _added(part: int, names: list, hits: list) -> pd.DataFrame:
+    """(part, k, t, n): a row for each distinct name, with its counts in target texts and in all."""
+    k, at = np.unique(np.concatenate(names), return_inverse=True)
+    t = np.bincount(at, np.repeat(hits, [len(x) for x in names]), len(k)).astype(np.int64)
+    return pd.DataFrame({"part": part, "k": k, "t": t, "n": np.bincount(at, minlength=len(k))})
 
 
-def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash cell of the bigram (a, b)."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(CELLS)).astype(np.int64)
+def _known(ids: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """``ids`` with the unknown word in place of the names in ``once``, which is sorted."""
+    if not len(once):
+        return ids
+    at = np.searchsorted(once, ids).clip(max=len(once) - 1)
+    return np.where(once[at] == ids, UNKNOWN, ids)
 
 
-def count_ngrams(docs: DataFrame, index, target: str) -> DataFrame:
-    """(kind, key, target, all): unigram (kind 0) and bigram-cell (kind 1) counts over all rows.
+def _look(k: np.ndarray, table: pd.DataFrame) -> np.ndarray:
+    """Target and overall counts (2 x n) of the names ``k``, all of which are in ``table``."""
+    names = table["k"].to_numpy()
+    order = np.argsort(names)
+    at = order[np.searchsorted(names, k, sorter=order)]
+    return np.stack([table["t"].to_numpy()[at], table["n"].to_numpy()[at]])
 
-    ``target`` names the boolean column of target rows. Each task adds up what it reads and sends a
-    row for each key that it met; ``index`` is a broadcast of word to id.
-    """
 
-    def count(batches):
-        size = len(index.value) + 2
-        uni, bi = np.zeros((2, size), np.int64), np.zeros((2, CELLS), np.int64)
-        for pdf in batches:
-            for t, hit in zip(pdf["text"], pdf[target]):
-                ids = token_ids(t, index.value)
-                for side in (0, 1) if hit else (0,):
-                    np.add.at(uni[side], ids[1:], 1)
-                    np.add.at(bi[side], cell(ids[:-1], ids[1:]), 1)
-        for kind, table in ((0, uni), (1, bi)):
-            own = np.flatnonzero(table[0])
-            for at in range(0, len(own), 1 << 16):
-                k = own[at : at + (1 << 16)]
-                yield pd.DataFrame({"kind": kind, "key": k, "t": table[1][k], "n": table[0][k]})
-
-    rows = docs.select("text", target).mapInPandas(count, "kind int, key long, t long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-
-
-def losses(counts: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed unigram probabilities, and the bigram cells' counts, of one side's model."""
-    uni = (counts + ADD) / (counts.sum() + ADD * len(counts))
-    return uni, bigrams
-
-
-def text_losses(ids: np.ndarray, models: list, context: list) -> tuple[float, float]:
-    """Mean loss for each token (end mark included) under the target's and the background's model."""
-    at = cell(ids[:-1], ids[1:])
-    out = []
-    for (uni, bi), seen in zip(models, context):
-        n = seen[ids[:-1]]
-        p = (1 - BIGRAM_WEIGHT) * uni[ids[1:]] + BIGRAM_WEIGHT * np.where(n > 0, np.minimum(bi[at], n) / np.maximum(n, 1), uni[ids[1:]])
-        out.append(float(-np.log(p).mean()))
-    return out[0], out[1]
+def _totals(counted: DataFrame) -> DataFrame:
+    """(part, k, t, n, first): the counts of all parts for each name of each part; ``first`` in one part of each name."""
+    every = Window.partitionBy("k")
+    return counted.select("part", "k", F.sum("t").over(every).alias("t"), F.sum("n").over(every).alias("n"),
+                          (F.col("part") == F.min("part").over(every)).alias("first"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -119,46 +97,61 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     to the background; repeated rows count as often as they occur; with no target text both losses
     come from smoothing alone. Other columns are ignored.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text")
     targets = durable(target_ids.select("doc_id").where("doc_id is not null").distinct())
     few = targets.count() <= SMALL  # then texts need not move to meet their marks
     targets = targets.withColumn("hit", F.lit(True))
     marked = own.join(F.broadcast(targets) if few else targets, "doc_id", "left")
-    marked = marked.select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    vocab = vocabulary(own)
-    index = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocab)})
-    counts = durable(count_ngrams(marked, index, "hit"))
-    size = len(vocab) + 2
-    tables = spark.sparkContext.broadcast(_tables(counts, size))
-
-    @F.pandas_udf("struct<n long, t double, b double>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        models, context = tables.value
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // PART))
+    # repeated rows and null ids are dealt out too
+    part = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    marked = marked.select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"), part.alias("part"))
+    marked = durable(marked.repartition(parts, "part"))
+
+    def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+        names: dict[str, int] = {}
+        return _added(int(pdf["part"].iat[0]), [token_ids(t, names)[1:] for t in pdf["text"]], pdf["hit"].to_numpy())
+
+    schema = "part int, k long, t long, n long"
+    words = durable(_totals(marked.groupBy("part").applyInPandas(count_words, schema)))
+    once = (F.col("n") == 1) & (F.col("k") != MARK)
+    one = lambda what: F.coalesce(F.sum(F.when(F.col("first"), what)), F.lit(0))
+    known, *rest = words.agg(one(F.when(~once & (F.col("k") != MARK), 1)), one(F.col("t")), one(F.col("n")), one(F.when(once, F.col("t"))), one(F.when(once, 1))).first()
+    total, unknown = np.array(rest[:2], float), [int(x) for x in rest[2:]]
+    size = known + 2
+
+    def count_bigrams(docs: pd.DataFrame, single: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return pd.DataFrame({"part": [], "k": [], "t": [], "n": []})
+        names: dict[str, int] = {}
+        alone = np.sort(single["k"].to_numpy())
+        ids = [_known(token_ids(t, names), alone) for t in docs["text"]]
+        return _added(int(docs["part"].iat[0]), [bigram(x[:-1], x[1:]) for x in ids], docs["hit"].to_numpy())
+
+    single = words.where(once).select("part", "k")
+    pairs = _totals(marked.groupBy("part").cogroup(single.groupBy("part")).applyInPandas(count_bigrams, schema))
+
+    def score(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        names: dict[str, int] = {}
+        uni, bi = counts[~counts["pair"]], counts[counts["pair"]]
+        alone = np.sort(uni["k"].to_numpy()[(uni["n"].to_numpy() == 1) & (uni["k"].to_numpy() != MARK)])
+        uni = pd.concat([uni[["k", "t", "n"]], pd.DataFrame({"k": [UNKNOWN], "t": unknown[:1], "n": unknown[1:]})])
+        ids = [_known(token_ids(t, names), alone) for t in docs["text"]]
+        if not ids:
+            return pd.DataFrame({"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": []})
+        before, after = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
+        seen, own, both = _look(before, uni), _look(after, uni), _look(bigram(before, after), bi)
+        lengths = np.array([len(x) - 1 for x in ids])
+        starts = np.cumsum(lengths) - lengths
         out = []
-        for t in texts:
-            ids = token_ids(t, index.value)
-            out.append((len(ids) - 2, *text_losses(ids, models, context)))
-        return pd.DataFrame(out, columns=["n", "t", "b"])
-
-    got = own.withColumn("x", of("text"))
-    return got.select("doc_id", F.col("x.n").alias("n_tokens"), F.col("x.t").alias("target_loss"), F.col("x.b").alias("background_loss"),
-                      (F.col("x.t") - F.col("x.b")).alias("score"))
-
-
-def _tables(counts: DataFrame, size: int) -> tuple[list, list]:
-    """The two models from ``counts``: at most size + CELLS rows, packed into bytes by Spark's tasks."""
-
-    def pack(batches):
-        for pdf in batches:
-            for kind in (0, 1):
-                part = pdf[pdf["kind"] == kind]
-                if len(part):
-                    yield pd.DataFrame({"kind": [kind], "k": [part["key"].to_numpy(np.int32).tobytes()], "t": [part["t"].to_numpy(np.int64).tobytes()], "n": [part["n"].to_numpy(np.int64).tobytes()]})
-
-    tables = np.zeros((2, size)), np.zeros((2, CELLS), np.float32)
-    for r in counts.mapInPandas(pack, "kind int, k binary, t binary, n binary").toLocalIterator():
-        key = np.frombuffer(r["k"], np.int32)
-        tables[r["kind"]][0][key], tables[r["kind"]][1][key] = np.frombuffer(r["t"], np.int64), np.frombuffer(r["n"], np.int64)
-    uni, bi = tables
-    return [losses(uni[s], bi[s]) for s in (0, 1)], [uni[0], uni[1]]
+        for side in (0, 1):
+            p = (own[side] + ADD) / (total[side] + ADD * size)
+            p = (1 - BIGRAM_WEIGHT) * p + BIGRAM_WEIGHT * np.where(seen[side] > 0, both[side] / np.maximum(seen[side], 1), p)
+            out.append(np.add.reduceat(-np.log(p), starts) / lengths)
+        return pd.DataFrame({"doc_id": docs["doc_id"], "n_tokens": lengths - 1, "target_loss": out[0], "background_loss": out[1]})
+
+    counts = words.select("part", "k", "t", "n", F.lit(False).alias("pair")).unionByName(pairs.select("part", "k", "t", "n", F.lit(True).alias("pair")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = marked.groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
+    return got.withColumn("score", F.col("target_loss") - F.col("background_loss"))
