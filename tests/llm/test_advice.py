@@ -72,3 +72,24 @@ def test_op6_exact_counts(spark, monkeypatch):
     expect = sorted(((d, len(t), x, y) for (d, _), t, x, y in zip(rows, texts, *want)), key=key)
     assert [g[:2] for g in got] == [e[:2] for e in expect]
     assert np.allclose([g[2:] for g in got], [e[2:] for e in expect], rtol=1e-9)
+
+
+def test_op5_hot_cluster(spark):
+    """A third of the vectors in one tight cluster, many blocks: its queries find their neighbours too."""
+    from tetraspark.llm import ann
+
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((40_000, 32))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    hot = np.arange(len(m)) % 3 == 0
+    m[hot] = m[0] + rng.standard_normal((hot.sum(), 32)) * 0.00001
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    rows = ann.search(docs, every=600, k=20).collect()
+    hit = total = 0
+    for q in range(0, len(m), 600):
+        s = m @ m[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s)[:20].tolist())
+        hit += len(best & {r.vec_id for r in rows if r.query_id == q})
+        total += 20
+    assert hit / total >= 0.9

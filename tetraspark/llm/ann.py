@@ -25,7 +25,8 @@ from .sharding import global_rank
 
 ship(__name__)
 
-CURVES, DIMS, BITS = 6, 6, 6
+#: Keys of 60 bits, so that a tight cluster is spread over many cells.
+CURVES, DIMS, BITS = 6, 6, 10
 #: Calibration: so many queries at most, and the recall that they must reach.
 PROBES, RECALL = 64, 0.95
 SEED = 20
@@ -129,22 +130,25 @@ def _calibrate(points: DataFrame, queries: DataFrame, curves: list, n: int, k: i
     near = points.select("pid", "v").mapInPandas(best, "j int, pid long, s double, keys array<long>")
     order = Window.partitionBy("j").orderBy(F.desc("s"), "pid")
     near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).collect()
-    # the distance along each curve, in points, between a probe and each of its true neighbours
+    # the distance along each curve, in points ordered by (key, id), between a probe and each of its true neighbours
     mine = keys(q, curves)
-    wanted = sorted({(c, int(a)) for c in range(len(curves)) for a in [*mine[:, c], *[r["keys"][c] for r in near]]})
-    cuts = [np.array([a for x, a in wanted if x == c], np.int64) for c in range(len(curves))]
+    wanted = sorted({(c, int(a), i) for c in range(len(curves)) for a, i in [*zip(mine[:, c], qid), *((r["keys"][c], r["pid"]) for r in near)]})
+    cuts = [[(a, i) for x, a, i in wanted if x == c] for c in range(len(curves))]
 
     def below(batches):
         for pdf in batches:
-            at = keys(np.stack(pdf["v"].to_numpy()).astype(float), curves)
+            at, ids = keys(np.stack(pdf["v"].to_numpy()).astype(float), curves), pdf["pid"].to_numpy()
             for c, cut in enumerate(cuts):
-                yield pd.DataFrame({"c": c, "i": np.arange(len(cut)), "n": np.searchsorted(np.sort(at[:, c]), cut)})
-
-    ranks = [np.zeros(len(x), np.int64) for x in cuts]
-    for r in points.select("v").mapInPandas(below, "c int, i int, n long").groupBy("c", "i").agg(F.sum("n").alias("n")).collect():
-        ranks[r["c"]][r["i"]] = r["n"]
-    at = lambda c, key: ranks[c][np.searchsorted(cuts[c], key)]
-    gaps = sorted(min(abs(int(at(c, mine[r["j"], c])) - int(at(c, r["keys"][c]))) for c in range(len(curves))) for r in near if r["pid"] != qid[r["j"]])
+                order = np.lexsort((ids, at[:, c]))
+                key, pid = at[order, c], ids[order]
+                cut_keys = np.array([a for a, _ in cut], np.int64)
+                spans = zip(np.searchsorted(key, cut_keys), np.searchsorted(key, cut_keys, "right"), cut)
+                yield pd.DataFrame({"c": c, "i": np.arange(len(cut)), "n": [lo + np.searchsorted(pid[lo:hi], i) for lo, hi, (_, i) in spans]})
+
+    ranks: dict[tuple[int, int, int], int] = {}
+    for r in points.select("pid", "v").mapInPandas(below, "c int, i int, n long").groupBy("c", "i").agg(F.sum("n").alias("n")).collect():
+        ranks[(r["c"], *cuts[r["c"]][r["i"]])] = r["n"]
+    gaps = sorted(min(abs(ranks[c, int(mine[r["j"], c]), qid[r["j"]]] - ranks[c, r["keys"][c], r["pid"]]) for c in range(len(curves))) for r in near if r["pid"] != qid[r["j"]])
     if not gaps:
         return n
     return int(min(n, gaps[min(len(gaps) - 1, int(RECALL * len(gaps)))] * 1.1 + 2 * k))
@@ -165,15 +169,15 @@ def _windows(points: DataFrame, queries: DataFrame, curves: list, parts: int, wi
     reach = -(-window // size)
 
     @F.pandas_udf("array<int>")
-    def windows_of(c: pd.Series, key: pd.Series) -> pd.Series:
+    def windows_of(c: pd.Series, key: pd.Series, qid: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(c, key):
+        for x, y, i in zip(c, key, qid):
             b = bounds[x]
-            own = max(0, bisect.bisect_right(b, (y, 1 << 62)) - 1)
+            own = max(0, bisect.bisect_right(b, (y, i)) - 1)  # where the calibration put it among equal keys
             out.append(np.arange(max(0, own - reach), min(len(b) - 1, own + reach) + 1, dtype=np.int32))
         return pd.Series(out)
 
-    sent = asked.select("qid", F.col("v").alias("qv"), F.col("c").alias("qc"), F.explode(windows_of("c", "key")).alias("qblock"))
+    sent = asked.select("qid", F.col("v").alias("qv"), F.col("c").alias("qc"), F.explode(windows_of("c", "key", "qid")).alias("qblock"))
     blocked = points.join(ranked.select("pid", "c", (F.col("at") / size).cast("int").alias("block")), "pid")
 
     def answer(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
