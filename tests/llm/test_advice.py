@@ -93,3 +93,14 @@ def test_op5_hot_cluster(spark):
         hit += len(best & {r.vec_id for r in rows if r.query_id == q})
         total += 20
     assert hit / total >= 0.9
+
+
+def test_op3_short_blocks():
+    """Short paragraphs and headings in wrappers of their own, and short articles, are kept; menus are not."""
+    from tetraspark.llm.html_extract import main_text
+
+    long = "A long paragraph of the article that is well over sixty characters, as most are."
+    assert main_text(f"<div><p>{long}</p></div><div><p>Yes.</p></div>") == f"{long}\nYes."
+    assert main_text(f"<div><div><h2>Head</h2></div></div><div><div><p>{long}</p></div></div>") == f"Head\n{long}"
+    assert main_text("<body><div><p>Closed today.</p></div></body>") == "Closed today."
+    assert main_text(f"<nav><a>Home</a></nav><div><p>{long}</p></div><footer>About</footer>") == long

@@ -79,6 +79,8 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
     def end_line() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
+        if not text and lines and not lines[-1]:
+            return  # nested wrappers make one blank line
         lines.append(text)
         inside.append(held > 0)
 
@@ -129,6 +131,9 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
+        if bad and not dropped and tag in BLOCK:  # what is dropped parts texts, what wraps does not
+            lines.extend([""] * WINDOW)
+            inside.extend([held > 0] * WINDOW)
         held += tag in HOLDERS
         stack.append((tag, dropped or bad))
     end_line()
@@ -157,6 +162,8 @@ def main_text(page: str | None) -> str:
         run = [lines[j] for j in range(start, i) if size[j]]
         if known or sum(map(len, run)) >= least:
             kept += run
+    if not kept:  # no text surges: a short article
+        kept = [t for t, c in zip(lines, size) if c]
     return "\n".join(kept)
 
 
