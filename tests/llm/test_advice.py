@@ -104,3 +104,11 @@ def test_op3_short_blocks():
     assert main_text(f"<div><div><h2>Head</h2></div></div><div><div><p>{long}</p></div></div>") == f"Head\n{long}"
     assert main_text("<body><div><p>Closed today.</p></div></body>") == "Closed today."
     assert main_text(f"<nav><a>Home</a></nav><div><p>{long}</p></div><footer>About</footer>") == long
+
+
+def test_keep_one_passes_null_texts(spark):
+    from tetraspark.llm import simhash_dedup
+
+    rows = [(1, None), (2, None), (3, " "), (4, ""), (5, "a b c"), (6, "A b  c"), (None, "a b c"), (None, None)]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, None), (2, None), (3, " "), (5, "a b c"), (None, "a b c"), (None, None)])

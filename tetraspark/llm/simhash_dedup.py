@@ -269,8 +269,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each group of ``near_groups``: that of the smallest doc_id, all columns kept.
 
-    Rows with a null doc_id are kept as they are. Of rows that share the kept doc_id all stay.
+    Rows with a null doc_id or a null text are kept as they are; texts without words are copies of
+    each other. Of rows with texts that share the kept doc_id all stay.
     """
-    kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    texts = docs.where(F.col("text").isNotNull())
+    kept = near_groups(texts).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    known = texts.join(kept, texts["doc_id"] == kept["__kept"], "left_semi")
+    return known.unionByName(docs.where(F.col("doc_id").isNull() | F.col("text").isNull()))
