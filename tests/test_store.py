@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tetraspark.operators.intersect import intersect_patterns
-from tetraspark.operators.store import QuadStore, StoreError, pattern
+from tetraspark.operators.store import SnapshotStore, StoreError, pattern
 from tetraspark.operators.terms import DEFAULT_GRAPH, decode, encode
 from tetraspark.plans.parser import SparqlError, parse_query
 from tetraspark.sources.trig import TrigError, parse_trig, read_files, read_string, write_lines
@@ -19,7 +19,7 @@ def iri(x):
 
 @pytest.fixture
 def store(spark):
-    s = QuadStore(spark)
+    s = SnapshotStore(spark)
     s.append(read_string(spark, '''@prefix ex: <http://e/> .
         ex:g1 { ex:a ex:knows ex:b ; ex:name "Ann"@en ; ex:age 30 . ex:b ex:knows ex:c ; ex:age 25.5 }
         ex:c ex:knows ex:a . GRAPH ex:g2 { ex:a ex:knows ex:b }'''))
@@ -31,7 +31,7 @@ def rows(df):
 
 
 def test_append_keeps_copies_and_delete_counts_them(spark):
-    s = QuadStore(spark)
+    s = SnapshotStore(spark)
     q = (iri("a"), iri("p"), '"x"', iri("g"))
     s.append([q, q])
     assert s.quads.count() == 2
@@ -43,16 +43,16 @@ def test_append_keeps_copies_and_delete_counts_them(spark):
 
 
 def test_save_and_load_keep_contents_and_deletions(spark, tmp_path):
-    s = QuadStore(spark, str(tmp_path / "store"))
+    s = SnapshotStore(spark, str(tmp_path / "store"))
     s.append([(iri(i), iri("p"), f'"{i}"', iri("g")) for i in range(5)])
     s.delete(s=iri(3))
     s.save()
-    again = QuadStore(spark, str(tmp_path / "store"))
+    again = SnapshotStore(spark, str(tmp_path / "store"))
     assert {r.s for r in again.quads.collect()} == {iri(i) for i in (0, 1, 2, 4)}
     again.append([(iri(9), iri("p"), '"9"', iri("g"))])
-    assert QuadStore(spark, str(tmp_path / "store")).quads.count() == 4  # not saved yet
+    assert SnapshotStore(spark, str(tmp_path / "store")).quads.count() == 4  # not saved yet
     again.save()
-    assert QuadStore(spark, str(tmp_path / "store")).quads.count() == 5
+    assert SnapshotStore(spark, str(tmp_path / "store")).quads.count() == 5
 
 
 @pytest.mark.parametrize("query, want", [
@@ -100,7 +100,7 @@ def test_updates(store):
 
 
 def test_loaded_text_can_be_deleted_by_an_update(spark):
-    s = QuadStore(spark)
+    s = SnapshotStore(spark)
     s.append(read_string(spark, '@prefix ex: <http://e/> . ex:a ex:name "Ann" , "Anne"@fr .'))
     s.update(P + 'DELETE DATA { ex:a ex:name "Ann" , "Anne"@fr }')
     assert s.quads.count() == 0
@@ -161,7 +161,7 @@ quad = st.tuples(name, name, name, name)
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(quad, min_size=1, max_size=12), st.tuples(*[st.none() | name] * 4))
 def test_delete_then_scan(spark, quads, by):
-    s = QuadStore(spark)
+    s = SnapshotStore(spark)
     s.append(quads)
     hit = [q for q in quads if all(b in (None, x) for b, x in zip(by, q))]
     assert s.query(*by).count() == len(hit)

@@ -35,7 +35,7 @@ def pattern(s=None, p=None, o=None, g=None) -> Column:
     return reduce(Column.__and__, conds) if conds else F.lit(True)
 
 
-class QuadStore:
+class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.changes = spark, path, 0
         self.quads = spark.createDataFrame([], SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import terms as T
 from ..operators.intersect import intersect_patterns, simple_query
-from ..operators.store import QuadStore
+from ..operators.store import SnapshotStore
 from ..sources.mapping import EX, example_views
 from ..sources.trig import parse_trig
 from .compiler import run_query
@@ -67,8 +67,8 @@ def nation_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _store(spark: SparkSession, sf_dir: str) -> QuadStore:
-    store = QuadStore(spark)
+def _store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    store = SnapshotStore(spark)
     store.append(nation_quads(spark, sf_dir))
     return store
 
