@@ -46,34 +46,62 @@ def test_keep_one_covers_similarity(spark):
     assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} == {find(d) for d in sets}
 
 
-def test_op6_exact_counts(spark, monkeypatch):
-    """Losses are those of a model that counts every word of two or more occurrences and every bigram, over several parts."""
+def brute_losses(rows, good):
+    """(doc_id, words, target loss, background loss) of every row, each by models without the row itself."""
     from tetraspark.llm import lm_score
 
-    monkeypatch.setattr(lm_score, "PART", 400_000)
-    rng = random.Random(5)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows += [(50_000 + i, " ".join(f"v{rng.randrange(60_000)}" for _ in range(1500))) for i in range(100)] + [(None, "a b"), (None, None), (7, "")]
-    good = {d for d, _ in rows if d is not None and d % 3 == 0}
     texts = [lm_score.words_of(t) for _, t in rows]
     often = Counter(w for t in texts for w in t)
     ids = [[0, *(w if often[w] > 1 else 1 for w in t), 0] for t in texts]
     size, want = sum(n > 1 for n in often.values()) + 2, []
     for side in (good, None):
-        own = [x for x, (d, _) in zip(ids, rows) if side is None or d in side]
-        uni, bi = Counter(w for x in own for w in x[1:]), Counter(p for x in own for p in zip(x, x[1:]))
-        total = sum(uni.values())
-        p1 = lambda w: (uni[w] + 0.5) / (total + 0.5 * size)  # noqa: B023, E731
-        want.append([np.mean([-np.log(0.4 * p1(b) + 0.6 * (bi[a, b] / uni[a] if uni[a] else p1(b))) for a, b in zip(x, x[1:])]) for x in ids])
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    ask = spark.createDataFrame([(d,) for d in good], "doc_id long")
+        inside = [side is None or d in side for d, _ in rows]
+        uni, bi = Counter(), Counter()
+        for x, i in zip(ids, inside):
+            if i:
+                uni.update(x[1:])
+                bi.update(zip(x, x[1:]))
+        total, out = sum(uni.values()), []
+        for x, i in zip(ids, inside):
+            u, p, n = (Counter(x[1:]), Counter(zip(x, x[1:])), len(x) - 1) if i else (Counter(), Counter(), 0)
+            one = lambda w: (uni[w] - u[w] + 0.5) / (total - n + 0.5 * size)  # noqa: B023, E731
+            out.append(np.mean([-np.log(0.4 * one(b) + 0.6 * ((bi[a, b] - p[a, b]) / (uni[a] - u[a]) if uni[a] > u[a] else one(b))) for a, b in zip(x, x[1:])]))
+        want.append(out)
+    return [(d, len(t), x, y) for (d, _), t, x, y in zip(rows, texts, *want)]
+
+
+def op6_agrees(spark, rows, good):
+    from tetraspark.llm import lm_score
+
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ask = spark.createDataFrame([(d,) for d in good], "doc_id long")
     got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.cross_entropy_difference(docs, ask).collect()), key=key)
-    expect = sorted(((d, len(t), x, y) for (d, _), t, x, y in zip(rows, texts, *want)), key=key)
+    expect = sorted(brute_losses(rows, good), key=key)
     assert [g[:2] for g in got] == [e[:2] for e in expect]
     assert np.allclose([g[2:] for g in got], [e[2:] for e in expect], rtol=1e-9)
 
 
+def test_op6_exact_counts(spark, monkeypatch):
+    """Losses are those of models that count every word and bigram exactly and leave the document out, over several parts and buckets."""
+    from tetraspark.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "PART", 400_000)
+    monkeypatch.setattr(lm_score, "BUCKET", 200_000)
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(50_000 + i, " ".join(f"v{rng.randrange(60_000)}" for _ in range(1500))) for i in range(60)] + [(None, "a b"), (None, None), (7, ""), (2**60 + 1, "a b")]
+    op6_agrees(spark, rows, {d for d, _ in rows if d is not None and d % 3 == 0} | {2**60 + 1})
+
+
+@pytest.mark.parametrize("rows, good", [
+    ([], {1}), ([(1, None), (2, None)], {1}), ([(1, ""), (2, "  "), (None, None)], set()),
+    ([(1, None), (2, "a b a"), (3, "a b a"), (3, "c"), (4, "!!")], {3, 9}), ([(1, "x y"), (1, "x y"), (1, "x y")], {1}),
+])
+def test_op6_small(spark, rows, good):
+    op6_agrees(spark, rows, good)
+
+
 def test_op5_hot_cluster(spark):
     """A third of the vectors in one tight cluster, many blocks: its queries find their neighbours too."""
     from tetraspark.llm import ann
@@ -95,6 +123,42 @@ def test_op5_hot_cluster(spark):
     assert hit / total >= 0.9
 
 
+def test_op5_windows_score_few_pairs(spark, monkeypatch):
+    """Clustered vectors: under a third of all pairs stand in windows, and recall is 0.9 or more, over several blocks."""
+    from tetraspark.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 4096)
+    monkeypatch.setattr(ann, "QUERIES", 2048)
+    widths, real = [], ann._calibrate
+    monkeypatch.setattr(ann, "_calibrate", lambda *a: widths.append(real(*a)) or widths[-1])
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((400, 24)).repeat(50, axis=0) + 0.15 * rng.standard_normal((20_000, 24))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(docs, every=100, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(set(np.argsort(-np.where(np.arange(len(m)) == q, -np.inf, m @ m[q]))[:20].tolist()) & got[q]) for q in range(0, len(m), 100))
+    assert hit / (20 * 200) >= 0.9
+    assert 2 * widths[0] * ann.CURVES < len(m) / 3
+
+
+def test_op5_edges(spark):
+    """Nulls, odd lengths, copies shared by many queries, repeated ids and few rows."""
+    from tetraspark.llm import ann
+
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (40, [0.5, 0.5]), (3, [0.0, 1.0]), (None, [1.0, 1.0]), (60, None), (80, [0.0, 0.0]), (100, [nan, 1.0]),
+            (120, [1.0]), (140, [1.0, 2.0, 3.0]), (160, []), (4, [1.0, None]), (3, [0.0, 2.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(docs.selectExpr("vec_id as VEC_ID", "embedding", "vec_id as v", "vec_id as H"), every=20, k=3, id_col="VEC_ID").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {
+        0: [(1, 20, 1.0), (2, 21, 1.0), (3, 40, 0.5)], 20: [(1, 0, 1.0), (2, 21, 1.0), (3, 40, 0.5)], 40: [(1, 0, 0.5), (2, 3, 0.5), (3, 20, 0.5)],
+    }
+    assert ann.search(docs.limit(0)).collect() == []
+
+
 def test_op3_short_blocks():
     """Short paragraphs and headings in wrappers of their own, and short articles, are kept; menus are not."""
     from tetraspark.llm.html_extract import main_text

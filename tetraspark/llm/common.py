@@ -19,20 +19,45 @@ def ship(module_name: str) -> None:
 ship(__name__)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where nothing is set a temporary folder serves, in local mode only; on a cluster that would be
+    a folder of one machine, so there it is an error.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's checkpoint folder, with its lineage cut.
+    """``df`` computed once and kept in the cluster's shared folder, with its lineage cut.
 
-    The folder is ``spark.checkpoint.dir`` where the cluster names one; only where nothing is
-    set (local tests) a temporary folder is used. Losing an executor loses no part of it, and
-    Spark's cleaner removes the files once nothing refers to them.
+    Losing an executor loses no part of it, and Spark's cleaner removes the files once nothing
+    refers to them.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as compressed Parquet in the shared folder under ``name``, and read again; it goes when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark).rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
