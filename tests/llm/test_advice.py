@@ -159,15 +159,76 @@ def test_op5_edges(spark):
     assert ann.search(docs.limit(0)).collect() == []
 
 
-def test_op3_short_blocks():
-    """Short paragraphs and headings in wrappers of their own, and short articles, are kept; menus are not."""
+LONG = "A long paragraph of the article that is well over sixty characters, as most are."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div><p>{LONG}</p></div><div><p>Yes.</p></div>", f"{LONG}\nYes."),
+    (f"<div><div><h2>Head</h2></div></div><div><div><p>{LONG}</p></div></div>", f"Head\n{LONG}"),
+    ("<body><div><p>Closed today.</p></div></body>", "Closed today."),
+    (f"<nav><a>Home</a></nav><div><p>{LONG}</p></div><footer>About</footer>", LONG),
+    (f"<ul><li><a href=/>Home</a></li><li><a href=/x>More</a></li></ul><div><p>{LONG}</p><p>The end.</p></div>", f"{LONG}\nThe end."),
+    (f"<article><header><h1>T</h1><p>Standfirst.</p></header><p>{LONG}</p><aside>See</aside><p>End.</p><article class='comment'><p>{LONG}{LONG}</p></article></article>", f"T\nStandfirst.\n{LONG}\nEnd."),
+    (f"<article><p>Teaser, read on.</p></article><div><h1>Story</h1><p>{LONG}</p></div>", f"Story\n{LONG}"),
+    (f"<p class='research-notice'>{LONG}</p><p class='notice'>Mind the gap.</p><div class='cookie-notice'><p>We use cookies.</p></div>", LONG),
+    (f"<main><section><p>{LONG}</p></section><section><p>Two.</p></section></main>", f"{LONG}\nTwo."),
+    ("<p>a &lt;b&gt; &amp; &eacute;\u00a0c\n d<br>e <i>f</i><script>var t='</p>'</script></p>", "a <b> & \u00e9 c d e f"),
+    (None, ""), ("", ""), ("<!-- x", ""), ("<nav>only", ""), ("plain text", "plain text"), ("<a href=/>only a link</a>", "only a link"),
+])
+def test_op3_pages(page, text):
+    from tetraspark.llm.html_extract import main_text
+
+    assert main_text(page) == text
+
+
+def test_op3_window_decides(monkeypatch):
+    """The window says what belongs together: a wider one spans the lines about an article and takes in what stands outside."""
+    from tetraspark.llm import html_extract
+
+    page = f"<div><p>Stray line.</p></div><article><p>{LONG}</p></article>"
+    assert html_extract.main_text(page) == LONG
+    gap = html_extract.Lines.gap
+    monkeypatch.setattr(html_extract.Lines, "gap", lambda self: (gap(self), self.texts.pop(), self.plain.pop()))
+    assert html_extract.main_text(page) == LONG  # the blank line before the gap is the third
+    monkeypatch.setattr(html_extract, "WINDOW", 5)
+    monkeypatch.setattr(html_extract.Lines, "gap", html_extract.Lines.end)
+    assert html_extract.main_text(page) == f"Stray line.\n{LONG}"
+
+
+def test_op3_whole_table(spark):
+    """Every page of a table against a plain reading of what its article element holds."""
+    import html
+    import re
+
+    from tetraspark.llm import queries as Q
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        want[r.page_id] = "\n".join(x for x in blocks if x)
+    assert {r.page_id: r.text for r in Q.op3_html_extraction(spark, SF).collect()} == want
+
+
+def test_op3_linear():
+    """Unclosed tags take time in proportion to their number."""
+    import time
+
     from tetraspark.llm.html_extract import main_text
 
-    long = "A long paragraph of the article that is well over sixty characters, as most are."
-    assert main_text(f"<div><p>{long}</p></div><div><p>Yes.</p></div>") == f"{long}\nYes."
-    assert main_text(f"<div><div><h2>Head</h2></div></div><div><div><p>{long}</p></div></div>") == f"Head\n{long}"
-    assert main_text("<body><div><p>Closed today.</p></div></body>") == "Closed today."
-    assert main_text(f"<nav><a>Home</a></nav><div><p>{long}</p></div><footer>About</footer>") == long
+    for tag in ("<div>", "<b>", "<li>", "<span class=ad>", "<p>x", "<a>"):
+        start = time.perf_counter()
+        assert main_text("<p>hello</p>" + tag * 40_000).startswith("hello")
+        assert time.perf_counter() - start < 5
+
+
+def test_op3_table_edges(spark):
+    from tetraspark.llm import html_extract
+
+    rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x</p>", 2)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_extract.extract(docs).collect()) == [(0, None, "x", 1), (1, "u", "", 0), (1, "u", "", 0)]
+    assert html_extract.extract(docs.limit(0)).count() == 0
 
 
 def test_keep_one_passes_null_texts(spark):

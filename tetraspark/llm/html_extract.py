@@ -1,10 +1,12 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped so that every block element stands on a line of its own and everything inside a
-menu, form, advert or other element that is never article text leaves blank lines. The text lengths
-of a sliding window of lines are then summed; where the sums surge the article begins and where they
-dive to nothing it ends, and the text between those points is kept. Where a page says which element
-holds the article, lines outside it are blank too, and inside it every line counts, however short.
+Markup is stripped so that every block element stands on a line of its own. Menus, forms, adverts and
+other elements that are never article text leave a blank line; where an article or main element
+begins or ends, a whole window of blank lines is left. The text lengths of a sliding window of lines
+are then summed: where the sums surge from nothing a run of text begins, where they dive to nothing
+it ends. The run with the most text is the article, with every line between its two points, however
+short; other runs count as well if they hold a fair share of that. Lines that are links throughout
+weigh nothing, so they neither start a run nor hold one together.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import ship
 
 ship(__name__)
 
-#: Lines in a window, and the window sum from which text surges on a page without an article element.
-WINDOW, SURGE = 3, 60
+#: Lines in a window, and the share of the longest run's text that another run must have to be kept.
+WINDOW, SHARE = 3, 0.5
 
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -33,137 +35,176 @@ BLOCK = HEADINGS | HOLDERS | DROPPED - {"label", "button"} | frozenset(
     "address blockquote body caption center dd details div dl dt fieldset figcaption figure hgroup hr html li ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that end when the same kind of element begins.
-ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+#: Which open elements a beginning element ends, and the elements beyond which it doesn't look for them.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ()}
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login search share sharing social comment comments disqus reply replies respond "
     "related recommended pagination pager skip copyright toolbar tags".split()
 )
+#: Names that even an article element of its own can have and be none.
+BAD_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _boilerplate(tag: str, attrs: str, holder: bool) -> bool:
-    if tag in DROPPED:
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether the element is never article text, by its tag, class, id, role or style."""
+    if tag in DROPPED and not (tag == "header" and in_article):  # an article's own header holds its title and standfirst
         return True
-    if not attrs or not attrs.strip(" \t\r\n/") or tag in ("html", "body") or tag in HOLDERS:
+    if not attrs or not attrs.strip(" \t\r\n/") or tag in ("html", "body"):
         return False
+    # parts of a compound name tell what a container is for, but not what a paragraph is
+    whole = tag == "p" or tag in HEADINGS or tag == "header"
+    bad = BAD_ARTICLES if tag in HOLDERS else BAD_NAMES - {"header"} if tag == "header" else BAD_NAMES
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and any(
-            word in BAD_NAMES or bool(BAD_NAMES.intersection(SPLIT.split(word))) for word in value.split()
-        ):
-            return True
-        if name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name in ("class", "id"):
+            if any(word in bad or not whole and not bad.isdisjoint(SPLIT.split(word)) for word in value.split()):
+                return True
+        elif name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
-    """The page's lines (dropped elements are blank lines), whether each is in a holder, and whether any is."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether it or an ancestor is dropped
-    held = 0
-
-    def end_line() -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-        parts.clear()
-        if not text and lines and not lines[-1]:
-            return  # nested wrappers make one blank line
-        lines.append(text)
-        inside.append(held > 0)
+class Lines:
+    """The page's lines while they are read: texts (blank ones are empty), and how much of each is no link."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.plain: list[int] = []
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def add(self, text: str, link: bool) -> None:
+        self.parts.append(text)
+        if link:
+            self.linked += len(SPACE.sub("", text))
+
+    def end(self) -> None:
+        raw = "".join(self.parts)
+        text = SPACE.sub(" ", entities.unescape(raw)).strip()
+        if text or (self.texts and self.texts[-1]):  # nested wrappers make one blank line
+            self.texts.append(text)
+            self.plain.append(0 if self.linked and self.linked >= len(SPACE.sub("", raw)) else len(text))
+        self.parts.clear()
+        self.linked = 0
+
+    def gap(self) -> None:
+        self.end()
+        self.texts.extend([""] * WINDOW)
+        self.plain.extend([0] * WINDOW)
+
+
+def lines_of(page: str) -> Lines:
+    """The page's lines. Every step takes time by what it closes, so unclosed tags cost no more than closed ones."""
+    out = Lines()
+    stack: list[tuple[str, bool]] = []  # block elements, links and dropped elements; whether one or an ancestor is dropped
+    where: dict[str, list[int]] = {}  # places of each tag in the stack
+    solid: list[int] = []  # places of the block elements that end a search for an open p
+
+    def pop(to: int) -> bool:
+        """Closes all above ``to``; whether an article or main was among them."""
+        held = False
+        while len(stack) > to:
+            tag, dropped = stack.pop()
+            where[tag].pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
+            held |= tag in HOLDERS and not dropped
+        return held
+
+    def last(tag: str) -> int:
+        got = where.get(tag)
+        return got[-1] if got else -1
+
+    def close(to: int) -> None:
+        out.end()
+        if pop(to):
+            out.gap()
 
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
+        dropped = bool(stack) and stack[-1][1]
+        until = m.start() if m else size
+        if until > at and not dropped:
+            out.add(page[at:until], bool(where.get("a")))
         if not m:
-            if not (stack and stack[-1][1]):
-                parts.append(page[at:])
             break
-        dropped = bool(stack) and stack[-1][1]
-        if m.start() > at and not dropped:
-            parts.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag in VOID:
             if tag == "br" and not dropped:
-                parts.append(" ")
+                out.add(" ", False)
             elif tag == "hr" and not dropped:
-                end_line()
+                out.end()
             continue
-        if tag in BLOCK:
-            end_line()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    held -= sum(t in HOLDERS for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+        if m[1]:  # an end tag; of inline elements only those in the stack matter
+            place = last(tag)
+            if tag in BLOCK and not dropped:
+                out.end()
+            if place >= 0:
+                close(place) if tag in BLOCK else pop(place)
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i][0]
-            if name in ENDS and tag in ENDS[name]:
-                del stack[i:]
-                break
-            if name in BLOCK and (name != "p" and (name not in ENDS or name in SCOPES.get(tag, ()))):
-                break
+        if tag in BLOCK:
+            if not dropped:
+                out.end()
+            if last("p") > (solid[-1] if solid else -1):  # a block ends an open p
+                close(last("p"))
+            for name in ENDS.get(tag, ()):
+                if last(name) > max((last(x) for x in SCOPES[tag]), default=-1):
+                    close(last(name))
+        elif tag == "a" and last("a") >= 0:
+            pop(last("a"))  # links don't nest
         dropped = bool(stack) and stack[-1][1]
-        bad = _boilerplate(tag, m[3], held > 0)
-        if tag in HEADINGS and dropped and held and not bad and all(t in ("header", "hgroup", "div") or not d for t, d in stack):
-            stack.append((tag, False))  # the article's own heading
-            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        if bad and not dropped and tag in BLOCK:  # what is dropped parts texts, what wraps does not
-            lines.extend([""] * WINDOW)
-            inside.extend([held > 0] * WINDOW)
-        held += tag in HOLDERS
+        bad = _boilerplate(tag, m[3], bool(where.get("article")) or bool(where.get("main")))
+        if tag not in BLOCK and not bad and tag != "a":
+            continue
+        if tag in HOLDERS and not dropped and not bad:
+            out.gap()
+        if tag in BLOCK and tag != "p":
+            solid.append(len(stack))
+        where.setdefault(tag, []).append(len(stack))
         stack.append((tag, dropped or bad))
-    end_line()
-    return lines, inside, any(x for x, t in zip(inside, lines) if t)
+    out.end()
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's lines, joined by newlines; empty for null, empty or text-free pages."""
-    lines, inside, known = lines_of(page or "")
-    size = np.array([len(t) if not known or x else 0 for t, x in zip(lines, inside)], np.int64)
-    if not size.any():
+    lines = lines_of(page or "")
+    for weights in (lines.plain, [len(t) for t in lines.texts]):  # a page of nothing but links counts as text
+        size = np.array(weights, np.int64)
+        if size.any():
+            break
+    else:
         return ""
     n = len(size)
-    ahead = np.concatenate((size, np.zeros(WINDOW, np.int64)))
-    sums = np.lib.stride_tricks.sliding_window_view(ahead, WINDOW)[:n].sum(axis=1)
-    least = 1 if known else SURGE
+    sums = np.lib.stride_tricks.sliding_window_view(np.concatenate((size, np.zeros(WINDOW, np.int64))), WINDOW)[:n].sum(axis=1)
+    flat = np.concatenate(([True], sums == 0, [True]))
+    surge, dive = np.flatnonzero(flat[:-1] & ~flat[1:]), np.flatnonzero(~flat[:-1] & flat[1:])
+    total = np.concatenate(([0], np.cumsum(size)))
+    mass = total[dive] - total[surge]
     kept: list[str] = []
-    i = 0
-    while i < n:
-        if sums[i] < least or not size[i]:
-            i += 1
-            continue
-        start = i  # a surge point; the dive point is where a whole window is blank
-        while i < n and sums[i]:
-            i += 1
-        run = [lines[j] for j in range(start, i) if size[j]]
-        if known or sum(map(len, run)) >= least:
-            kept += run
-    if not kept:  # no text surges: a short article
-        kept = [t for t, c in zip(lines, size) if c]
+    for a, b in zip(surge[mass >= SHARE * mass.max()], dive[mass >= SHARE * mass.max()]):
+        own = np.flatnonzero(size[a:b]) + a
+        kept += [t for t in lines.texts[own[0] : own[-1] + 1] if t]
     return "\n".join(kept)
 
 
@@ -171,7 +212,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     Null html counts as empty and gives the empty string; null urls and ids stay null; repeated
-    rows are kept; other columns are not read. Whole pages are parsed, however long, one at a time.
+    rows are kept; other columns are not read; an empty table gives an empty result. Whole pages are
+    parsed, however long, one at a time, in time in proportion to their length. Of runs of equal
+    mass all are kept.
     """
 
     @F.pandas_udf("string")
