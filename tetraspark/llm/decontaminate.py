@@ -2,13 +2,14 @@
 
 Every benchmark item is compared with windows of documents that have as many word shingles as it
 has. Windows and items get 64-bit SimHash fingerprints; an index over the blocks of the items'
-fingerprints gives every item within the radius, as fingerprints that differ in at most RADIUS bits
-agree in at least one of RADIUS + 1 blocks; and the weighted Jaccard similarity of the two multisets
-of shingles decides. DataFrame functions only.
-
-A window can only be similar enough if it holds enough of the item's shingles, and moving its start
-to its first such shingle never loses one, so windows that start at a shared shingle and hold enough
-of them are all that need a fingerprint. This prunes without loss.
+fingerprints gives every item of the window's size within the radius, as fingerprints that differ in
+at most RADIUS bits agree in at least one of RADIUS + 1 blocks; and the weighted Jaccard similarity
+of the two multisets of shingles decides. DataFrame functions only.
+
+A window can only be similar enough to some item of its size if enough of its shingles occur in items
+of that size, and moving its start to its first such shingle never loses one. Only windows that start
+at such a shingle and hold enough of them get a fingerprint. This knows no item and loses no pair;
+which items a window is compared with is for the index alone to say.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of multisets with the least similarity differ in 9.7 of 64 bits on average, with a
 #: standard deviation of 2.9; the radius is 3.9 deviations above.
 RADIUS = 21
-#: Rows up to which a side is broadcast after its count is known; beyond, joins shuffle.
+#: Rows of three or four numbers (16 MB) up to which a side is broadcast after its count is known; beyond, joins shuffle.
 SMALL = 500_000
 
 
@@ -105,37 +106,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _of_width(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     items = durable(with_shingles(items, width).select(F.xxhash64("item_id", "text").alias("ik"), "item_id", F.col("sh").alias("ish"), F.size("sh").alias("m")))
-    shingles = items.select("ik", "m", F.explode("ish").alias("h")).groupBy("ik", "m", "h").agg(F.count("*").alias("ci"))
-    shingles = durable(shingles)
+    shingles = durable(items.select("ik", "m", F.explode("ish").alias("h")).groupBy("ik", "m", "h").agg(F.count("*").alias("ci")))
     n_shingles, longest = shingles.count(), items.agg(F.max("m")).first()[0]
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     hashed = with_shingles(keyed.where("text is not null"), width).drop("text")
-    # where a document's shingles are an item's; _outer, as the filter that Spark infers for explode() would work out
-    # all arrays anew for every element
-    hits = hashed.select("doc_id", "tk", F.posexplode_outer("sh").alias("p", "h")).join(_sized(shingles, n_shingles), "h")
+    # where a document's shingles are those of items of some size; _outer, as the filter that Spark infers for explode()
+    # would work out all arrays anew for every element
+    of_size = shingles.select("m", "h").distinct()
+    hits = hashed.select("doc_id", "tk", F.posexplode_outer("sh").alias("p", "h")).join(_sized(of_size, n_shingles), "h")
     least = F.ceil(F.lit(SIMILARITY) * F.col("m") - 1e-9).cast("int")
-    hits = hits.groupBy("doc_id", "tk", "ik", "m").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") >= least)
+    hits = hits.groupBy("doc_id", "tk", "m").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") >= least)
     # starts from which the window holds enough of them
     last = F.size("ps") - least
     starts = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(
         F.get("ps", i + least - 1) < F.get("ps", i) + F.col("m"), F.get("ps", i))), lambda s: s.isNotNull())
-    asked = durable(hits.select("doc_id", "tk", "ik", "m", starts.alias("starts")).where(F.size("starts") > 0))
+    asked = durable(hits.select("doc_id", "tk", "m", starts.alias("starts")).where(F.size("starts") > 0))
     n_asked = asked.count()
     near = _sized(asked.withColumnRenamed("doc_id", "__d").withColumnRenamed("tk", "__t"), n_asked)
     hold = keyed.where("text is not null").join(near, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("tk") == F.col("__t"))).drop("__d", "__t")
-    hold = hold.dropDuplicates(["doc_id", "tk", "ik"]) if n_asked else hold
+    hold = hold.dropDuplicates(["doc_id", "tk", "m"]) if n_asked else hold
     hold = with_shingles(hold, width).drop("text")
     clipped = F.array_distinct(F.transform("starts", lambda s: F.greatest(F.least(s, F.size("sh") - F.col("m")), F.lit(0))))
-    windows = hold.select("doc_id", "tk", "ik", "m", "sh", F.explode_outer(clipped).alias("word"))
-    windows = windows.select("doc_id", "tk", "ik", "word", F.slice("sh", F.col("word") + 1, F.col("m")).alias("sh"))
+    windows = hold.select("doc_id", "tk", F.col("m").alias("wm"), "sh", F.explode_outer(clipped).alias("word"))
+    windows = windows.select("doc_id", "tk", "wm", "word", F.slice("sh", F.col("word") + 1, F.col("wm")).alias("sh"))
     lanes = 4 if (longest or 0) < 1 << 16 else 2
     windows = windows.withColumn("fp", simhash(F.col("sh"), lanes))
     index = items.withColumn("ifp", simhash(F.col("ish"), lanes)).select("ik", "item_id", "m", "ifp", F.explode(blocks(F.col("ifp"))).alias("b"))
     index = durable(index.select("ik", "item_id", "m", "ifp", F.col("b.no").alias("no"), F.col("b.value").alias("value")))
-    # the index is asked for items of the window's own kind; of blocks that agree the first one counts
-    asks = windows.select("doc_id", "tk", F.col("ik").alias("wk"), "word", "sh", "fp", F.explode(blocks(F.col("fp"))).alias("b"))
+    # items of the window's size that agree in a block; of several such blocks the first one counts
+    asks = windows.select("doc_id", "tk", "wm", "word", "sh", "fp", F.explode(blocks(F.col("fp"))).alias("b"))
     index = _sized(index, n_shingles * (RADIUS + 1))
-    meet = asks.join(index, (F.col("wk") == F.col("ik")) & (F.col("b.no") == F.col("no")) & (F.col("b.value") == F.col("value")))
+    meet = asks.join(index, (F.col("wm") == F.col("m")) & (F.col("b.no") == F.col("no")) & (F.col("b.value") == F.col("value")))
     differ = F.col("fp").bitwiseXOR(F.col("ifp"))
     cuts = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
     first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
@@ -150,6 +151,11 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns and repeats are kept."""
+    """``docs`` without the documents that hold a benchmark item; all columns, repeats, and rows with null texts are kept.
+
+    A document with a null doc_id that holds an item goes with all rows of null doc_id, as they are
+    one id; other rows that share an id go together as well. Empty tables leave ``docs`` as it is;
+    of columns only doc_id and text are read.
+    """
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
