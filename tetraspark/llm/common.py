@@ -62,24 +62,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Links of a node beyond which it is a hub, in parts of all links; there are at most 2 * HUBS of them.
+HUBS, HUB = 20_000, 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long) as (node, root).
 
     ``root`` is the smallest node of the component; nodes without an edge are not returned.
     Alternating large-star and small-star rounds contract every component to a star in
-    O(log n) rounds. A round aggregates minima with map-side combine and joins them back, so a
-    hub is split by the skew join; only counters reach the driver. Nulls and loops are ignored.
+    O(log n) rounds. A round aggregates minima with map-side combine and joins them back. The links
+    of hubs, of which there can only be 2 * HUBS, meet their minima by a broadcast, so no task gets
+    a hub's links; only counters reach the driver. Nulls and loops are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = durable(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, n = None, e.count()
+
+    def with_least(df: DataFrame, low: DataFrame) -> DataFrame:
+        """``df`` with its u's ``m`` of ``low`` (u, m, c), c being how many rows of ``df`` u has."""
+        most = max(HUB, n // HUBS)
+        if n <= most:
+            return df.join(low.drop("c"), "u")
+        hubs = F.broadcast(low.where(F.col("c") > most).drop("c"))
+        rest = df.join(hubs.select(F.col("u").alias("__u")), F.col("u") == F.col("__u"), "left_anti").join(low.where(F.col("c") <= most).drop("c"), "u")
+        return rest.unionByName(df.join(hubs, "u"))
+
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:

@@ -25,6 +25,9 @@ ship(__name__)
 
 #: Values that a bucket's task expands at a time; larger buckets are split by further bits first.
 EXPANDED = 1 << 21
+#: Values that one task expands in all; fingerprints in a bucket beyond which STEP more bits deal it out anew; hot
+#: buckets (one number each, a MB in all) up to which their list is broadcast.
+TASK, DEALT, STEP, HOT = 1 << 26, 1 << 14, 6, 1 << 17
 #: ``keep_one``: words of a shingle, least Jaccard similarity, and MinHash bands. Ball hashing can't reach the some 21
 #: bits that this similarity needs; a pair of exactly 0.8 shares no band once in (1 - 0.8 ** 5) ** -30 = 150,000 pairs.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -75,6 +78,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
+def _signed(x: int) -> int:
+    """The same 64 bits as a signed number."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _meet(fp: np.ndarray, left: np.ndarray, low: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (indices) between values that meet when up to ``left[i]`` of the ``low`` lowest bits flip.
 
@@ -130,27 +138,60 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints ``fp`` at ``radius`` (even) or fewer bits.
 
     ``n``: their number, from which the number of leading bits follows. Each bucket returns a
-    spanning forest of its links, at most one row for each fingerprint dealt to it.
+    spanning forest of its links, at most one row for each fingerprint dealt to it. Buckets of over
+    DEALT fingerprints, as large groups of near copies make them, are dealt out anew by STEP more
+    bits, until they are small or no bits are left; so no task gets a whole hot bucket.
     """
-    half = radius // 2
+    if radius % 2 or radius < 0:
+        raise ValueError("the radius is twice what each side may vary, and so even")
+    spark, half = distinct.sparkSession, radius // 2
     whole = sum(math.comb(64, c) for c in range(half + 1))
-    k = min(24, max(4, math.ceil(math.log2(max(1, n * whole / EXPANDED)))))
-    # heads within half the radius of a fingerprint's own; 1 + k + k (k - 1) / 2 for radius 4
-    flips = [m for c in range(half + 1) for m in (sum(1 << i for i in ix) for ix in _choose(k, c).tolist())]
-    low = 64 - k
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        head = np.uint64(int(pdf["head"].iat[0]))
-        at = (fp & np.uint64((1 << low) - 1)) | (head << np.uint64(low))
-        a, b = _bucket_links(fp, at, low, half)
-        return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
-
-    own = F.shiftrightunsigned("fp", low)
-    dealt = distinct.select("fp", F.explode(F.array(*[own.bitwiseXOR(F.lit(m)) for m in flips])).alias("head"))
-    # by number, as these are few bytes and much work
-    dealt = dealt.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << k) // 4), "head")
-    return dealt.groupBy("head").applyInPandas(run, "a long, b long")
+    bits = min(32, max(4, math.ceil(math.log2(max(1, n * whole / EXPANDED)))))
+
+    def nearby(width: int) -> list[int]:
+        """Masks of ``width`` bits that flip at most half the radius."""
+        return [sum(1 << i for i in ix) for c in range(half + 1) for ix in _choose(width, c).tolist()]
+
+    def deal(df: DataFrame, before: int, width: int) -> DataFrame:
+        """Of (fp, at), ``at`` with the ``width`` bits that follow the first ``before`` varied, within half the radius in all."""
+        low = 64 - before - width
+        moved = df.select("fp", F.explode(F.array(*[F.col("at").bitwiseXOR(F.lit(_signed(m << low))) for m in nearby(width)])).alias("at"))
+        return moved.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("at"))) <= half).withColumn("head", F.shiftrightunsigned("at", low))
+
+    def run(low: int):
+        def of(pdf: pd.DataFrame) -> pd.DataFrame:
+            fp = pdf["fp"].to_numpy().view(np.uint64)
+            # leading bits are the bucket's, the rest the fingerprint's own
+            at = (fp & np.uint64((1 << low) - 1)) | (pdf["at"].to_numpy().view(np.uint64) >> np.uint64(low) << np.uint64(low))
+            a, b = _bucket_links(fp, at, low, half)
+            return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
+
+        return of
+
+    found, before, width = None, 0, bits
+    rows, most = distinct.select("fp", F.col("fp").alias("at")), n
+    while True:
+        dealt = deal(rows, before, width)
+        before, low = before + width, 64 - before - width
+        small, hot = dealt, None
+        if low > 2 * STEP and most > DEALT:
+            # at most so many heads can be hot: every row is dealt to len(nearby) of them
+            sizes = dealt.groupBy("head").count().where(F.col("count") > DEALT)
+            hot = durable(sizes.select(F.col("head").alias("__hot")))
+            n_hot = hot.count()
+            if n_hot:
+                hot_heads = F.broadcast(hot) if n_hot <= HOT else hot
+                small = dealt.join(hot_heads, dealt["head"] == hot["__hot"], "left_anti")
+                rows = durable(dealt.join(hot_heads, dealt["head"] == hot["__hot"], "left_semi").select("fp", "at"))
+            else:
+                hot = None
+        # by work, as these are few bytes and many values
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, -(-n * whole // TASK)))
+        part = small.repartition(tasks, "head").groupBy("head").applyInPandas(run(low), "a long, b long")
+        found = part if found is None else found.unionByName(part)
+        if hot is None:
+            return found
+        most, width = rows.count(), STEP
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
