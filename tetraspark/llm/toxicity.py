@@ -24,8 +24,11 @@ from .common import ship
 
 ship(__name__)
 
-#: At most so many texts of either kind are used for fitting, taken by the hash of their ids.
+#: At most so many texts of either kind are used for fitting, taken by the hash of their ids. This is the bounded sample
+#: that the classifier is fitted on; README has what other bounds give.
 POSITIVES, UNLABELLED = 3000, 9000
+#: The highest score of texts where nothing could be learned.
+NEUTRAL = 0.49
 #: Features are hashed to so many values; the model keeps those that set positives apart.
 SPACE, FEATURES, LEAST = 1 << 22, 1024, 10
 FOLDS = 5
@@ -94,7 +97,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     p = few.join(confirmed, "doc_id", "left_semi").distinct().orderBy("o", "doc_id").limit(POSITIVES)
     u = few.join(confirmed, "doc_id", "left_anti").distinct().orderBy("o", "doc_id").limit(UNLABELLED)
     chosen = p.select("doc_id", F.lit(1).alias("y")).unionByName(u.select("doc_id", F.lit(0).alias("y")))
-    got = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # of an id's several texts the one of the least hash; at most POSITIVES + UNLABELLED ids are broadcast
+    got = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = got.select("doc_id", "y", "text").mapInArrow(of, f"doc_id {kind}, y int, f array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -175,10 +179,18 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(chosen features, weights, bias), from the rows outside the held-out fold."""
+    """(chosen features, weights, bias), from the rows outside the held-out fold.
+
+    Rows with a null doc_id or a null label teach nothing, an id with several labels is toxic if one
+    of them says so, and other columns than doc_id, text and toxic are not read. Without positives,
+    unlabelled texts or any feature that sets them apart, as in empty tables, nothing is known of any
+    text: all get one score, below 0.5.
+    """
     pos, unl, prior = training_sample(docs, labels)
     pos, unl = without_copies(pos), without_copies(unl)
     chosen = choose_features(pos, unl)
+    if not len(chosen):
+        return chosen, np.zeros(0), float(np.log(min(prior, NEUTRAL) / (1 - min(prior, NEUTRAL))))
     w, b = fit(dense(pos, chosen), dense(unl, chosen), prior)
     return chosen, w, b
 
@@ -208,7 +220,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     """(doc_id, held_out, score, predicted) for every row of ``docs``, over whole texts.
 
     Null and empty texts have no feature and get the bias's score; a null doc_id is not held out;
-    rows that repeat are scored each. Labels, language and source have no part in a score.
+    rows that repeat are scored each; an empty table gives an empty result. Labels, language, source
+    and all columns but doc_id and text have no part in a score.
     """
     held = F.coalesce(_fold("doc_id") == 0, F.lit(False))
     of = scorer(model)
@@ -223,7 +236,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose texts are predicted toxic; all columns and repeats are kept."""
+    """``docs`` without the rows whose texts are predicted toxic; all columns and repeats are kept.
+
+    Null and empty texts get the bias's score like any other text without features; null ids are
+    judged by their text. If nothing could be learned (see ``train``) all rows stay.
+    """
     of, at = scorer(train(docs, labels)), docs.columns.index("text")
 
     def run(batches):
