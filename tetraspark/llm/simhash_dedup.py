@@ -32,6 +32,8 @@ TASK, DEALT, STEP, HOT = 1 << 26, 1 << 14, 6, 1 << 17
 #: bits that this similarity needs; a pair of exactly 0.8 shares no band once in (1 - 0.8 ** 5) ** -30 = 150,000 pairs.
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 30, 5
+#: Members of a family that a task compares with as many others.
+CHUNK = 1024
 
 
 def text_fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -253,33 +255,103 @@ def _minhashes(docs: DataFrame) -> DataFrame:
     return got.select("id", "tk", "x.key", "x.n", "x.bands")
 
 
-def _similar(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of SIMILARITY or more, by their exact sets."""
+def _sets(docs: DataFrame, base: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, sh) of the shingle sets whose names are in ``asked`` (key); one text of each is read."""
 
-    @F.pandas_udf("struct<key long, sh array<long>>")
+    @F.pandas_udf("struct<key long, sh binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"key": [_key(s) for s in sets], "sh": [s.view(np.int64) for s in sets]})
+        return pd.DataFrame({"key": [_key(s) for s in sets], "sh": [s.tobytes() for s in sets]})
+
+    one = base.join(asked, "key").groupBy("key").agg(F.min("tk").alias("__tk")).select("__tk")
+    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(one, F.col("tk") == F.col("__tk"), "left_semi").dropDuplicates(["tk"])
+    return durable(texts.select(of("text").alias("x")).select("x.key", "x.sh"))
+
+
+def _alike(shared, n, m):
+    """Whether sets of ``n`` and ``m`` shingles, of which ``shared`` are common, are similar enough."""
+    return shared >= SIMILARITY * (n + m - shared) - 1e-9
+
+
+def _similar(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of SIMILARITY or more, by their exact sets."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        shared = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
-        return pd.Series([c >= SIMILARITY * (len(s) + len(t) - c) - 1e-9 for c, s, t in zip(shared, x, y)], dtype=bool)
+        both = [(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(x, y)]
+        return pd.Series([_alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)) for s, t in both], dtype=bool)
 
-    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    one = base.join(asked, "key").groupBy("key").agg(F.min("tk").alias("__tk")).select("__tk")
-    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(one, F.col("tk") == F.col("__tk"), "left_semi").dropDuplicates(["tk"])
-    sets = durable(texts.select(of("text").alias("x")).select("x.key", "x.sh"))
+    sets = _sets(docs, base, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
     return both.where(near("x", "y")).select("a", "b")
 
 
+def _chunk_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the links between members of two chunks that share a band and aren't joined yet, by their exact sets."""
+    none = pd.DataFrame({"a": [], "b": []})
+    if not len(left) or not len(right):
+        return none
+    one, two = (np.array(list(x["bands"]), np.int64) for x in (left, right))
+    n, m = left["n"].to_numpy(), right["n"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in left["sh"]], [np.frombuffer(x, np.uint64) for x in right["sh"]]
+    names, at = np.unique(np.concatenate(sets[1]), return_inverse=True)
+    starts = np.cumsum(m) - m
+    mark = np.zeros(len(names), bool)
+    a, b = [], []
+    for i, own in enumerate(sets[0]):
+        ask = (one[i] == two).any(axis=1) & (right["root"].to_numpy() != left["root"].iat[i]) & (np.minimum(n[i], m) >= np.maximum(n[i], m) * SIMILARITY - 1e-9)
+        if not ask.any():
+            continue
+        place = np.searchsorted(names, own).clip(max=len(names) - 1)
+        place = place[names[place] == own]
+        mark[place] = True
+        shared = np.add.reduceat(mark[at], starts, dtype=np.int64)
+        mark[place] = False
+        found = np.flatnonzero(ask & _alike(shared, n[i], m))
+        a.append(np.full(len(found), i))
+        b.append(found + len(n))
+    if not a:
+        return none
+    keys = np.concatenate([left["key"].to_numpy(), right["key"].to_numpy()])
+    root = _roots(len(keys), np.concatenate(a), np.concatenate(b))
+    other = np.flatnonzero(root != np.arange(len(keys)))
+    return pd.DataFrame({"a": keys[root[other]], "b": keys[other]})
+
+
+def _across(docs: DataFrame, base: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between ``members`` (fam, key, root, n, bands) of one family and different roots.
+
+    A family is cut into chunks of about CHUNK members: those of one large root by their keys, small
+    roots whole, by their names. Two chunks meet in a group of their own, unless both are of one root, so
+    no group is larger than two chunks, and what earlier links have joined is not compared again.
+    """
+    sizes = members.groupBy("fam", "root").agg(F.count("*").alias("c"))
+    small = sizes.groupBy("fam").agg(F.sum(F.when(F.col("c") < CHUNK, F.col("c")).otherwise(0)).alias("s"))
+    placed = members.join(sizes, ["fam", "root"]).join(small, "fam")
+    large = F.col("c") >= CHUNK
+    cut = lambda of, total: F.pmod(F.xxhash64(of), F.ceil(total / CHUNK).cast("long"))
+    placed = placed.withColumn("chunk", F.when(large, F.struct(F.col("root").alias("of"), cut("key", F.col("c")).alias("at"), F.lit(True).alias("one")))
+                               .otherwise(F.struct(F.lit(0).cast("long").alias("of"), cut("root", F.greatest("s", F.lit(1))).alias("at"), F.lit(False).alias("one"))))
+    placed = durable(placed.select("fam", "key", "root", "n", "bands", "chunk"))
+    chunks = placed.select("fam", "chunk").distinct()
+    pairs = chunks.withColumnRenamed("chunk", "x").join(chunks.withColumnRenamed("chunk", "y"), "fam").where("x <= y")
+    pairs = durable(pairs.where(~(F.col("x.one") & F.col("y.one") & (F.col("x.of") == F.col("y.of")))).withColumn("g", F.xxhash64("fam", "x", "y")))
+    full = placed.join(_sets(docs, base, placed.select("key").distinct()), "key")
+    names = ["g", "key", "root", "n", "bands", "sh"]
+    side = lambda c: full.join(pairs.select("fam", F.col(c).alias("chunk"), "g"), ["fam", "chunk"]).select(*[F.col(x).alias(f"{x}_{c}") for x in names])
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _chunk_links(*(x.set_axis(names, axis=1) for x in (left, right)))
+
+    return side("x").groupBy("g_x").cogroup(side("y").groupBy("g_y")).applyInPandas(meet, "a long, b long")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row: groups linked by five-word shingle similarity of SIMILARITY or more.
 
     Candidates share a MinHash band and have sizes that allow the similarity; the exact shingle sets
-    decide. First all members of a bucket are compared with its least; then, of buckets that this left
-    in several groups, all pairs across groups. Pairs that earlier links already join aren't compared.
+    decide. First all members of a bucket are compared with its least. Then members of different
+    roots, in families that buckets hold together, meet in chunks; only a forest of their links leaves a task.
     """
     base = durable(_minhashes(docs))
     one = base.groupBy("key", "n").agg(F.first("bands").alias("bands"))
@@ -287,21 +359,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = placed.groupBy("v").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("v", "a")
     placed = durable(placed.join(shared, "v"))  # what is alone in its bucket is done with
     sizes = placed.where("key = a").select("v", F.col("n").alias("m"))
-    star = placed.where("key <> a").join(sizes, "v").where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9)
-    star = durable(star.select("a", F.col("key").alias("b")).distinct())
-    edges = durable(_similar(docs, base, star))
+    star = durable(placed.where("key <> a").join(sizes, "v").select("a", F.col("key").alias("b"), "n", "m").distinct())
+    edges = durable(_similar(docs, base, star.where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9).select("a", "b")))
 
     def rooted(df: DataFrame, cc: DataFrame) -> DataFrame:
         return df.join(cc.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    split = rooted(placed, components(edges))
-    several = split.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("v")
-    left = durable(split.join(several, "v", "left_semi"))
-    other = left.select("v", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.join(other, "v").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")))
-    rest = rest.where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9).select(F.col("key").alias("a"), "b").distinct()
-    rest = durable(rest.join(star, ["a", "b"], "left_anti"))
-    cc = components(edges.unionByName(_similar(docs, base, rest)))
+    family = components(star.select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("fam"))
+    split = rooted(family, components(edges))
+    several = split.groupBy("fam").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("fam")
+    left = durable(split.join(several, "fam", "left_semi").join(one, "key"))
+    cc = components(edges.unionByName(_across(docs, base, left)))
     named = rooted(base.select("id", "key"), cc)
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return named.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
