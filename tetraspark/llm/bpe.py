@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,19 @@ class Bpe:
         split, *rest = spec["pre_tokenizer"]["pretokenizers"]
         if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or [x["type"] for x in rest] != ["ByteLevel"] or spec["decoder"] or spec["post_processor"]:
             raise ValueError("the vocabulary needs parts that are not supported")
+        blanks = spec["normalizer"]["normalizers"][1]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t[k]]
+        odd += [k for k, ok in (("Replace", blanks["pattern"] == {"Regex": r"\s+"} and blanks["content"] == " "), ("Split", split["behavior"] == "Removed" and split["invert"]),
+                                ("ByteLevel", not rest[0]["add_prefix_space"] and not rest[0]["use_regex"])) if not ok]
+        if odd:
+            raise ValueError(f"the vocabulary sets what is not supported: {', '.join(odd)}")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.pattern = regex.compile(split["pattern"]["Regex"])
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
+        self.heads = {t[:2] for t in special}  # what a text must hold to have any of them
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in special.items()}
         self.inner = [self.vocab[c] for c in byte_alphabet()]
@@ -136,7 +145,7 @@ class Bpe:
         out: list[int] = []
         if not text:
             return out
-        if self.marks is None or "<|" not in text:
+        if not any(h in text for h in self.heads):
             self._plain(text, out)
             return out
         for i, part in enumerate(self.marks.split(text)):
@@ -190,16 +199,20 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
     source = load(docs.sparkSession, path)
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
     def run(batches):
         bpe = Bpe(source.value)
         decimal = {i: str(i) for i in bpe.strings}
         sha = hashlib.sha256
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["doc_id"], pdf["text"]):
+        for batch in batches:
+            counts, digested, decoded = [], [], []
+            for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)
-                out.append((key, len(ids), sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest(), sha(bpe.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
+                counts.append(len(ids))
+                digested.append(sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
+                decoded.append(sha(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digested, pa.string()), pa.array(decoded, pa.string())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

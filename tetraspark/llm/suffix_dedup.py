@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,11 +34,11 @@ TASK_BYTES = 1_500_000
 #: Classes up to which they are broadcast once their number is known; beyond, the join shuffles.
 SMALL = 500_000
 
-BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers have inverses
+BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
 
 
 class Hasher:
-    """Hashes of all K-grams and of any stretch of a byte string, from running sums of powers."""
+    """Hashes of all K-grams of a byte string, from running sums of powers; they only deal out suffixes."""
 
     def __init__(self):
         self.size = 0
@@ -47,20 +48,17 @@ class Hasher:
         if n <= self.size:
             return
         self.size = 1 << (n - 1).bit_length()
-        self.tables = []
-        for b in (BASE, BASE2):
-            inverse = pow(b, -1, 1 << 64)
-            up, down = np.full(self.size, b, np.uint64), np.full(self.size, inverse, np.uint64)
-            up[0] = down[0] = 1
-            self.tables.append((np.cumprod(up), np.cumprod(down)))
+        inverse = pow(BASE, -1, 1 << 64)
+        up, down = np.full(self.size, BASE, np.uint64), np.full(self.size, inverse, np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
 
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.tables[which][0][: len(data)] * (data.astype(np.uint64) + np.uint64(1)), out=out[1:])
-        return out
-
-    def stretch(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
-        return (sums[b] - sums[a]) * self.tables[which][1][a]
+    def grams(self, data: np.ndarray) -> np.ndarray:
+        """A hash for each K bytes."""
+        n = len(data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.up[:n] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        return mix((sums[K:] - sums[:-K]) * self.down[: n - K + 1])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,13 +70,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def runs(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
     """(v, c, start, count, twice) of the runs of suffixes that share their smallest K-gram hash v.
 
-    c hashes the run's bytes, up to the end of its last prefix; ``twice`` tells that v occurs more
+    c is the XXH3 of the run's bytes, up to the end of its last prefix; ``twice`` tells that v occurs more
     than once in them, so that suffixes of one run may repeat each other.
     """
     n = len(data)
     hasher.grow(n + 1)
-    sums = hasher.sums(data, 0)
-    h = mix((sums[K:] - sums[:-K]) * hasher.tables[0][1][: n - K + 1])
+    h = hasher.grams(data)
     width = LENGTH - K + 1
     least, span = h, 1
     while span * 2 <= width:
@@ -90,7 +87,8 @@ def runs(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
     start = np.concatenate((np.zeros(1, np.int64), cut))
     end = np.concatenate((cut, [len(least)]))  # of the suffixes' starts
     v = least[start]
-    c = mix(hasher.stretch(hasher.sums(data, 1), start, end + (LENGTH - 1), 1) + (end - start).astype(np.uint64))
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    c = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), (end + (LENGTH - 1)).tolist())), np.uint64, len(start))
     twice = np.fromiter((np.count_nonzero(h[s : e + width - 1] == x) > 1 for s, e, x in zip(start.tolist(), end.tolist(), v)), bool, len(v))
     return v, c, start, end - start, twice
 
@@ -288,8 +286,18 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``rid``, by which equal rows stand for each other; they have equal results."""
-    return docs.withColumn("rid", F.xxhash64(F.col("doc_id"), F.col("text")))
+    """``docs`` with ``rid``, by which equal rows (doc_id, text) stand for each other; they have equal results.
+
+    Names that different rows share are found by a second hash and, rare as they are, named anew by both.
+    """
+    second = F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id"))
+    named = docs.withColumn("rid", F.xxhash64(F.col("doc_id"), F.col("text")))
+    twice = named.select("rid", second.alias("h")).groupBy("rid").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    twice = durable(twice.where("x <> y").select(F.col("rid").alias("__twice")))
+    if not twice.count():
+        return named
+    named = named.join(twice, F.col("rid") == F.col("__twice"), "left")
+    return named.withColumn("rid", F.when(F.col("__twice").isNotNull(), F.xxhash64(F.col("rid"), second)).otherwise(F.col("rid"))).drop("__twice")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -319,11 +327,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` and ``n_chars`` counted anew, where it exists.
 
     A cut never splits a character: one that is only partly covered stays. Rows are all kept, with
-    their other columns; a null text stays null.
+    their other columns, whatever these are called; a null text stays null, a null id is one like any
+    other, repeated rows are cut alike, and an empty table stays empty.
     """
     names = docs.columns
-    row = docs.select(F.struct(*names).alias("r"), "doc_id", "text") if "rid" in names or "x" in names else docs
-    keyed = _keyed(row)
+    keyed = _keyed(docs.select(F.struct(*names).alias("r"), "doc_id", "text"))
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, x: pd.Series) -> pd.Series:
@@ -345,8 +353,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     joined = keyed.join(stretches(keyed.select("rid", "text")), "rid", "left").withColumn("text", rest("text", "x"))
-    if row is not docs:
-        joined = joined.select(*[F.col("text") if c == "text" else F.col(f"r.{c}").alias(c) for c in names])
+    joined = joined.select(*[F.col("text") if c == "text" else F.col("r").getField(c).alias(c) for c in names])
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         joined = joined.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(kind))
