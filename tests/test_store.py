@@ -168,3 +168,85 @@ def test_delete_then_scan(spark, quads, by):
     assert s.delete(*by) == len(hit)
     assert rows(s.quads) == sorted([q for q in quads if q not in hit], key=repr)
     assert s.quads.where(pattern(*by)).count() == 0
+
+
+def ask(store, text):
+    return [tuple(r) for r in store.sparql(P + "PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> " + text).collect()]
+
+
+def test_filters_that_name_exists(spark):
+    """A literal that says "exists" is no EXISTS."""
+    s = SnapshotStore(spark)
+    s.append(read_string(spark, '@prefix ex: <http://e/> . ex:a ex:n 1 ; ex:k "exists" . ex:b ex:n 1 ; ex:k "x" . ex:c ex:n 1 .'))
+    assert sorted(ask(s, 'SELECT ?x { ?x ex:n ?v FILTER NOT EXISTS { ?x ex:k ?y FILTER(?y = "exists") } }')) == [(iri("b"),), (iri("c"),)]
+    assert sorted(ask(s, 'SELECT ?x { ?x ex:n ?v FILTER EXISTS { ?x ex:k ?y FILTER(?y != "exists") } }')) == [(iri("b"),)]
+
+
+def test_distinct_sorts_by_what_it_does_not_return(spark):
+    s = SnapshotStore(spark)
+    s.append(read_string(spark, '@prefix ex: <http://e/> . ex:a ex:n "p" ; ex:age 30 . ex:b ex:n "q" ; ex:age 25 . ex:c ex:n "p" ; ex:age 20 . ex:d ex:n "r" ; ex:age 27 .'))
+    assert ask(s, "SELECT DISTINCT ?n { ?x ex:n ?n ; ex:age ?a } ORDER BY ?a") == [('"p"',), ('"q"',), ('"r"',)]
+    assert ask(s, "SELECT DISTINCT ?n { ?x ex:n ?n ; ex:age ?a } ORDER BY DESC(?a) LIMIT 2") == [('"p"',), ('"r"',)]
+
+
+@pytest.mark.parametrize("expression, want", [
+    ('"2020-01-01T12:00:00Z"^^xsd:dateTime = "2020-01-01T12:00:00+05:00"^^xsd:dateTime', '"false"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('"2020-01-01T12:00:00Z"^^xsd:dateTime = "2020-01-01T17:30:00+05:30"^^xsd:dateTime', '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('"2020-01-01T12:00:00-01:00"^^xsd:dateTime > "2020-01-01T12:30:00Z"^^xsd:dateTime', '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('HOURS("2020-01-01T12:00:00+05:00"^^xsd:dateTime)', '"12"^^<http://www.w3.org/2001/XMLSchema#integer>'),
+    ('REGEX("abc", "a.c", "q")', '"false"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('REGEX("xA.cx", "a.c", "qi")', '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('REGEX("a", "(")', None), ('REPLACE("a", "(", "b")', None), ('"a" = 5', None), ('"a" != 5', None), ('"a" = "b"', '"false"^^<http://www.w3.org/2001/XMLSchema#boolean>'),
+    ('SUBSTR("motor", 99999999999)', '""'), ('SUBSTR("motor", 2, 99999999999)', '"otor"'), ('SUBSTR("motor", -99999999999, 99999999999)', '""'),
+    ("9223372036854775807 + 1", None), ('DATATYPE(99999999999999999999)', "<http://www.w3.org/2001/XMLSchema#integer>"),
+    ('99999999999999999999 > 5', '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>'), ('STR("a\\uE001b\\\\\\\\c")', '"ab\\\\\\\\c"'),
+])
+def test_expressions(spark, expression, want):
+    s = SnapshotStore(spark)
+    s.append([(iri("a"), iri("p"), '"x"', DEFAULT_GRAPH)])
+    assert ask(s, f"SELECT ?v {{ ?s ex:p ?o BIND({expression} AS ?v) }}") == [(want,)]
+
+
+def test_sums_beyond_the_type_are_unbound(spark):
+    s = SnapshotStore(spark)
+    s.append([(iri(i), iri("p"), f'"{2**63 - 1 - i}"^^<http://www.w3.org/2001/XMLSchema#integer>', DEFAULT_GRAPH) for i in range(3)])
+    assert len(ask(s, "SELECT (SUM(?o) AS ?t) { VALUES ?o { 9223372036854775807 9223372036854775806 } }")) == 1
+    assert ask(s, "SELECT (SUM(?o) AS ?t) (COUNT(?o) AS ?n) { ?s ex:q ?o }")[0][1].startswith('"0"')
+
+
+def test_an_unfinished_save_blocks_nothing(spark, tmp_path):
+    at = tmp_path / "store"
+    (at / "v1").mkdir(parents=True)
+    s = SnapshotStore(spark, str(at))
+    s.append([(iri("a"), iri("p"), '"x"', iri("g"))])
+    s.save()
+    other = SnapshotStore(spark, str(at))
+    assert other.quads.count() == 1
+    other.append([(iri("b"), iri("p"), '"y"', iri("g"))])
+    other.save()
+    s.append([(iri("c"), iri("p"), '"z"', iri("g"))])  # a writer that has not seen the other's version
+    s.save()
+    assert rows(SnapshotStore(spark, str(at)).quads.select("s")) == [(iri("a"),), (iri("c"),)]
+
+
+def test_nulls_in_a_data_frame_are_refused_at_once(spark):
+    with pytest.raises(ValueError):
+        SnapshotStore(spark).append(spark.createDataFrame([(iri("a"), None, '"x"', iri("g"))], "s string, p string, o string, g string"))
+
+
+QUAD = st.tuples(*[st.sampled_from([iri(c) for c in x]) for x in ("abc", "pq", "xy", "gh")])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(QUAD, min_size=1, max_size=12), QUAD)
+def test_properties_of_deletion_and_reload(spark, tmp_path_factory, quads, gone):
+    """Deleting a graph or removing quads takes these and nothing else, also after a save and reload."""
+    at = str(tmp_path_factory.mktemp("s"))
+    s = SnapshotStore(spark, at)
+    s.append(quads)
+    assert s.delete_graph(gone[3]) == sum(q[3] == gone[3] for q in quads)
+    left = [q for q in quads if q[3] != gone[3]]
+    s.update(f"DELETE DATA {{ GRAPH {quads[0][3]} {{ {' '.join(quads[0][:3])} }} }} ; INSERT DATA {{ GRAPH {gone[3]} {{ {' '.join(gone[:3])} }} }}")
+    left = [q for q in left if q != quads[0]] + [gone]
+    s.save()
+    assert rows(SnapshotStore(spark, at).quads) == sorted(left, key=repr)

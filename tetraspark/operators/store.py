@@ -7,14 +7,15 @@ version are never disturbed. A version counts once Spark has marked it as comple
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import parser as P
-from ..plans.compiler import Compiler, run_query
-from ..plans.parser import Command, Group, SparqlError, Unsupported, Var
+from ..plans.compiler import Compiler, nodes, run_query
+from ..plans.parser import Command, Element, Group, SparqlError, Unsupported, Var
 from ..sources.quads import QuadSource
 from .durable import durable
 from .terms import DEFAULT_GRAPH
@@ -43,22 +44,28 @@ class SnapshotStore:
             self.load()
 
     # -- versions
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self, complete: bool = True) -> list[int]:
+        path, fs = self._files()
+        if not fs.exists(path(self.path)):
             return []
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and (not complete or fs.exists(path(f"{self.path}/{n}/_SUCCESS"))))
 
     def save(self) -> str:
         """Writes the state, ranged and sorted by predicate and subject so that scans skip row groups."""
         if not self.path:
             raise StoreError("the store has no path")
-        to = f"{self.path}/v{max(self._versions(), default=0) + 1}"
-        self.quads.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.parquet(to)
+        made = f"{self.path}/_{uuid.uuid4().hex}"  # of no one else, whatever other writers do or left behind
+        self.quads.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.parquet(made)
+        path, fs = self._files()
+        while True:
+            to = f"{self.path}/v{max(self._versions(complete=False), default=0) + 1}"
+            if not fs.exists(path(to)) and fs.rename(path(made), path(to)):
+                break
         self.load()
         return to
 
@@ -83,8 +90,10 @@ class SnapshotStore:
                 raise ValueError("a quad has four terms")
             quads = self.spark.createDataFrame(rows, SCHEMA)
         else:
-            complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in COLUMNS])
-            quads = quads.select(*[F.when(complete, F.col(c)).otherwise(F.raise_error(F.lit("a quad has four terms"))).alias(c) for c in COLUMNS])
+            quads = quads.select(*COLUMNS)
+            nullable = [F.col(f.name).isNull() for f in quads.schema if f.nullable]
+            if nullable and not quads.where(reduce(Column.__or__, nullable)).isEmpty():  # once, so that later scans stay plain
+                raise ValueError("a quad has four terms")
         self._set(self.quads.unionByName(quads))
 
     def query(self, s=None, p=None, o=None, g=None) -> DataFrame:
@@ -138,7 +147,7 @@ class SnapshotStore:
         except Unsupported as e:
             raise StoreError(str(e)) from e
         except SparqlError as e:
-            raise StoreError(f"Failed to parse SPARQL Update: {e}") from e
+            raise StoreError(f"cannot parse the update: {e}") from e
         for c in commands:
             self._run(c)
 
@@ -146,7 +155,7 @@ class SnapshotStore:
         if c.kind in ("drop", "clear"):
             return self._drop(c)
         if c.kind == "insert data":
-            fresh = {x: f"_:u{self.spark.sql('select uuid()').first()[0].replace('-', '')}" for q in c.insert for x in q if isinstance(x, Var)}
+            fresh = {x: f"_:u{uuid.uuid4().hex}" for q in c.insert for x in q if isinstance(x, Var)}
             return self.append([tuple(fresh.get(x, x) for x in q[:3]) + (q[3] or DEFAULT_GRAPH,) for q in c.insert])
         if c.kind == "delete data":
             return self.remove(self.spark.createDataFrame([(*q[:3], q[3] or DEFAULT_GRAPH) for q in c.delete], SCHEMA))
@@ -166,7 +175,7 @@ class SnapshotStore:
             self.append(durable(both[1]))
 
     def _names_graphs(self, g: Group) -> bool:
-        return "kind='graph'" in repr(g)
+        return any(isinstance(x, Element) and x.kind == "graph" for x in nodes(g))
 
     def _drop(self, c: Command) -> None:
         if c.target == "all":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.parser import RDF, XSD, literal, unescape
 
-#: The graph that quads without a named graph are in; not empty, so that partition columns keep it.
+#: Fixed value: the graph that quads without a named graph are in; not empty, so that partition columns keep it.
 DEFAULT_GRAPH = "<urn:x-default:default-graph>"
 
 #: Numeric datatypes (fixed values of the XML Schema recommendation).
@@ -40,12 +40,15 @@ def escape(c: Column) -> Column:
 
 
 def unescape_column(c: Column) -> Column:
-    """The inverse of ``escape``; a stand-in keeps double backslashes apart from other escapes."""
-    stand_in = F.lit("")
-    c = F.replace(c, F.lit("\\\\"), stand_in)
+    """The inverse of ``escape``. A stand-in keeps double backslashes apart from other escapes.
+
+    The stand-in is a private character and a digit; the character itself, should the text hold it, gets another digit.
+    """
+    mark = "\ue001"
+    c = F.replace(F.replace(c, F.lit(mark), F.lit(mark + "0")), F.lit("\\\\"), F.lit(mark + "1"))
     for code, char in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
         c = F.replace(c, F.lit(code), F.lit(char))
-    return F.replace(c, stand_in, F.lit("\\"))
+    return F.replace(F.replace(c, F.lit(mark + "1"), F.lit("\\")), F.lit(mark + "0"), F.lit(mark))
 
 
 def _part(t: Column, group: int) -> Column:
@@ -73,8 +76,20 @@ def number(t: Column) -> Column:
     return F.when(datatype(t).isin(NUMERIC), _part(t, 1).try_cast("double"))
 
 
+#: A time zone at the end of a date or dateTime.
+ZONE = r"(Z|[+-]\d\d:\d\d)$"
+
+
+def instant(t: Column) -> Column:
+    """A date or dateTime literal in universal time, for comparisons; one without a zone counts as universal."""
+    zone = F.regexp_extract(_part(t, 1), ZONE, 1)
+    sign = F.when(zone.startswith("-"), 1).otherwise(-1)
+    minutes = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"), F.lit(0))
+    return moment(t) + F.make_dt_interval(mins=sign * minutes)
+
+
 def moment(t: Column) -> Column:
-    """The value of a date or dateTime literal; null for all other terms."""
+    """The value of a date or dateTime literal as it is written, without its zone; null for all other terms."""
     return F.when(datatype(t).isin(XSD + "dateTime", XSD + "date"), _part(t, 1).try_cast("timestamp_ntz"))
 
 

@@ -27,6 +27,10 @@ SPARQL: dict[str, tuple[str, str, str]] = {
     "minus": ("customer orders", "SELECT ?c WHERE { ?c a cls:customer MINUS { ?o ex:customer ?c ; ex:status \"F\" } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "filter_exists": ("customer orders", "SELECT ?c WHERE { ?c a cls:customer FILTER EXISTS { ?o ex:customer ?c ; ex:status \"O\" } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')"),
     "filter_not_exists": ("customer orders", "SELECT ?c WHERE { ?c ex:balance ?b FILTER NOT EXISTS { ?o ex:customer ?c ; ex:price ?p FILTER(?p > ?b) } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal)"),
+    "not_exists_some": ("customer orders", "SELECT ?c WHERE { ?c a cls:customer FILTER NOT EXISTS { ?o ex:customer ?c ; ex:status \"F\" ; ex:priority ?p FILTER(?p != \"exists\") } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
+    "distinct_order_limit": ("orders", "SELECT DISTINCT ?c WHERE { ?o ex:customer ?c ; ex:price ?p } ORDER BY DESC(?p) ?o LIMIT 15", "SELECT c FROM (SELECT 'http://example.org/customer/' || o_custkey AS c, max(o_totalprice) AS p FROM orders GROUP BY o_custkey ORDER BY p DESC, c LIMIT 15)"),
+    "aggregates_of_none": ("orders", "SELECT (COUNT(?o) AS ?n) (SUM(?p) AS ?t) WHERE { ?o ex:status \"none\" ; ex:price ?p }", "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS t"),
+    "ask_false": ("orders", "ASK { ?o ex:status \"none\" }", "SELECT false AS answer"),
     "bind": ("part", "SELECT ?p ?big ?len WHERE { ?p ex:name ?n ; ex:size ?z BIND(IF(?z > 25, \"big\", \"small\") AS ?big) BIND(STRLEN(?n) AS ?len) }", "SELECT 'http://example.org/part/' || p_partkey AS p, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS big, length(p_name) AS len FROM part"),
     "values": ("nation region", "SELECT ?n ?rn WHERE { VALUES ?rn { \"ASIA\" \"EUROPE\" } ?k ex:name ?n ; ex:region ?r . ?r ex:name ?rn }", "SELECT n_name AS n, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')"),
     "having": ("orders", "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o ex:customer ?c } GROUP BY ?c HAVING (COUNT(?o) > 12)", "SELECT 'http://example.org/customer/' || o_custkey AS c, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12"),
@@ -103,6 +107,36 @@ def update_drop(spark, sf_dir):
     return store.quads.groupBy("g").agg(F.count("*").alias("n"))
 
 
+def path_ring(spark, sf_dir):
+    """The closure of a ring of all nations: every pair, itself included."""
+    store = SnapshotStore(spark)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = nations.count()
+    iri = lambda c: F.concat(F.lit(f"<{EX}nation/"), c.cast("string"), F.lit(">"))
+    store.append(nations.select(iri(F.col("n_nationkey")).alias("s"), F.lit(f"<{EX}next>").alias("p"), iri((F.col("n_nationkey") + 1) % n).alias("o"), F.lit(T.DEFAULT_GRAPH).alias("g")))
+    return store.sparql(PREFIXES + "SELECT ?x ?y WHERE { ?x ex:next+ ?y }")
+
+
+def delete_duplicates(spark, sf_dir):
+    """A deletion takes all copies of a quad."""
+    store = _store(spark, sf_dir)
+    store.append(nation_quads(spark, sf_dir))
+    store.delete(p=f"<{EX}name>")
+    return store.quads.groupBy("p").agg(F.count("*").alias("n"))
+
+
+def update_delete_data(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.update(f"DELETE DATA {{ GRAPH <{EX}g/nation> {{ <{EX}nation/1> <{EX}region> <{EX}region/1> . <{EX}nation/0> <{EX}region> <{EX}region/9> }} }}")
+    return store.query(p=f"<{EX}region>").select("s", "o")
+
+
+def update_clear_default(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.update(f"INSERT DATA {{ <{EX}a> <{EX}b> 5 , 6 }} ; CLEAR DEFAULT")
+    return store.quads.groupBy("g").agg(F.count("*").alias("n"))
+
+
 def simple_intersection(spark, sf_dir):
     return intersect_patterns(nation_quads(spark, sf_dir), [(None, f"<{EX}region>", None), (None, None, f"<{EX}region/2>")])
 
@@ -139,6 +173,10 @@ OTHERS: dict[str, tuple[Callable, str]] = {
     "store_graphs": (store_graphs, "SELECT '<http://example.org/g/nation>' AS g UNION ALL SELECT '<http://example.org/g/region>'"),
     "update_modify": (update_modify, f"SELECT {R} AS s, '<http://example.org/holds>' AS p, {N} AS o FROM nation"),
     "update_drop": (update_drop, "SELECT '<http://example.org/g/region>' AS g, 2 * COUNT(*) AS n FROM region UNION ALL SELECT '<urn:x-default:default-graph>', 1"),
+    "path_ring": (path_ring, "SELECT '<http://example.org/nation/' || a.n_nationkey || '>' AS x, '<http://example.org/nation/' || b.n_nationkey || '>' AS y FROM nation a CROSS JOIN nation b"),
+    "delete_duplicates": (delete_duplicates, f"SELECT '<{EX}region>' AS p, 2 * COUNT(*) AS n FROM nation UNION ALL SELECT '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', 2 * ((SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM region))"),
+    "update_delete_data": (update_delete_data, f"SELECT {N} AS s, {R} AS o FROM nation WHERE NOT (n_nationkey = 1 AND n_regionkey = 1)"),
+    "update_clear_default": (update_clear_default, f"SELECT '<{EX}g/' || t || '>' AS g, n FROM (SELECT 'nation' AS t, 3 * COUNT(*) AS n FROM nation UNION ALL SELECT 'region', 2 * COUNT(*) FROM region)"),
     "simple_intersection": (simple_intersection, f"SELECT {N} AS s, {R} AS o FROM nation WHERE n_regionkey = 2"),
     "simple_sparql": (simple_sparql, f"SELECT {N} AS s, {R} AS o, '<http://example.org/g/nation>' AS g FROM nation"),
     "trig_round_trip": (trig_round_trip, f"SELECT {N} AS s, '<http://example.org/name>' AS p, '\"' || n_name || '\"' AS o, '<http://example.org/g/nation>' AS g FROM nation UNION ALL SELECT '<http://example.org/region/' || r_regionkey || '>', '<http://example.org/name>', '\"' || r_name || '\"', '<http://example.org/g/region>' FROM region"),

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import terms as T
 from ..operators.durable import durable
@@ -29,6 +30,23 @@ def variables(x) -> list[str]:
     return list(dict.fromkeys(y.name for y in x if isinstance(y, Var)))
 
 
+def nodes(x):
+    """All parts of an expression or group, itself included."""
+    yield x
+    if isinstance(x, Group):
+        inner = x.items
+    elif isinstance(x, Element):
+        inner = (x.a, x.b)
+    else:
+        inner = x if isinstance(x, (tuple, list)) else ()
+    for y in inner:
+        yield from nodes(y)
+
+
+def is_exists(e) -> bool:
+    return isinstance(e, tuple) and len(e) == 2 and e[0] == "exists" and isinstance(e[1], Group)
+
+
 def conjuncts(e) -> list:
     return conjuncts(e[1]) + conjuncts(e[2]) if isinstance(e, tuple) and e[0] == "&&" else [e]
 
@@ -356,8 +374,8 @@ class Compiler:
         return Solution(df, sol.reps | {name: rep}, set(sol.certain))
 
     def filter(self, sol: Solution, e, ctx) -> Solution:
-        negated = isinstance(e, tuple) and e[0] == "!" and isinstance(e[1], tuple) and e[1][0] == "exists"
-        if negated or isinstance(e, tuple) and e[0] == "exists":
+        negated = isinstance(e, tuple) and e[0] == "!" and is_exists(e[1])
+        if negated or is_exists(e):
             inner = (e[1] if negated else e)[1]
             return self.semi(sol, inner, ctx, "left_anti" if negated else "left_semi")
         keep = list(sol.reps)
@@ -367,7 +385,7 @@ class Compiler:
 
     def semi(self, sol: Solution, inner: Group, ctx, how: str) -> Solution:
         own = [c for x in inner.items if x.kind == "filter" for c in conjuncts(x.a)]
-        later = [c for c in own if "exists" not in str(c)]
+        later = [c for c in own if not any(map(is_exists, nodes(c)))]
         right = self.group(Group([x for x in inner.items if x.kind != "filter"]), ctx)
         for c in own:
             if c not in later:
@@ -380,7 +398,7 @@ class Compiler:
 
         def walk(x) -> None:
             nonlocal sol
-            if isinstance(x, tuple) and x and x[0] == "exists":
+            if is_exists(x):
                 right = self.group(x[1], ctx)
                 shared = [n for n in right.reps if n in sol.reps]
                 if not all(n in sol.certain and n in right.certain for n in shared):
@@ -447,7 +465,11 @@ class Compiler:
                 sol = Solution(sol.df.withColumn(column_name(n), F.lit(None).cast("string")), sol.reps | {n: TERM}, sol.certain)
         keys = self.order_columns(sol, order)
         out = self.project(sol, names)
-        if q.distinct:
+        if q.distinct and any(isinstance(x, Var) and x.name not in names for e, _ in order for x in nodes(e)):
+            # keys that are not projected: of equal rows the first in the order counts
+            first = Window.partitionBy(*[out.col(n) for n in out.reps]).orderBy(*keys)
+            df = sol.df.withColumn("__first", F.row_number().over(first)).where("__first = 1").orderBy(*keys).select(*[out.col(n) for n in out.reps])
+        elif q.distinct:
             out = Solution(out.df.distinct(), out.reps, out.certain)
             keys = self.order_columns(out, order)
             df = out.df.orderBy(*keys) if keys else out.df
@@ -529,11 +551,12 @@ class Compiler:
         # one value that is no number spoils the whole
         bad = F.max(c.isNotNull() & x.isNull())
         if name == "SUM":
-            total = F.sum_distinct(x) if distinct else F.sum(x)
+            # a sum beyond the type is an error, and errors leave the value unbound
+            total = F.sum_distinct(x.cast("decimal(38,0)")).try_cast("bigint") if distinct and rep == INTEGER else F.sum_distinct(x) if distinct else F.try_sum(x)
         else:
             y = x.cast("decimal(28,10)") if rep == INTEGER else x
             total = F.sum_distinct(y) / F.count_distinct(y) if distinct else F.avg(y)
-        total = F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(total, F.lit(0)))
+        total = F.when(~F.coalesce(bad, F.lit(False)), F.when(F.count(x) == 0, 0).otherwise(total))
         if is_number(rep):
             return total, (DECIMAL if rep == INTEGER and name == "AVG" else rep)
         top = F.coalesce(F.max(F.when(c.isNotNull(), rank(v))), F.lit(1))

@@ -6,9 +6,10 @@ compared and computed natively; canonical terms are decoded by expressions, neve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import terms as T
@@ -31,7 +32,9 @@ def constant(term: str) -> Value:
     kind, lex, dt, lang = T.decode(term)
     if kind == "I":
         return F.lit(lex), Rep("iri", "")
-    if kind == "L" and not lang:
+    # what its native type cannot hold stays a term: a zone, an integer beyond 64 bits
+    wide = dt == INTEGER.meta and re.fullmatch(r"[+-]?\d+", lex) and not -(2**63) <= int(lex) < 2**63
+    if kind == "L" and not lang and not wide and not (dt == MOMENT.meta and re.search(T.ZONE, lex)):
         native = {STRING.meta: "string", BOOLEAN.meta: "boolean", INTEGER.meta: "bigint", DECIMAL.meta: "decimal(38,10)", DOUBLE.meta: "double", MOMENT.meta: "timestamp_ntz"}
         if dt in native:
             return (F.lit(lex) if dt == STRING.meta else F.lit(lex).try_cast(native[dt])), Rep("lit", dt)
@@ -82,6 +85,11 @@ def like_first(v: Value, lex: Column) -> Value:
     return F.concat(F.lit('"'), T.escape(lex), F.lit('"'), F.when(lang == "", "").otherwise(F.concat(F.lit("@"), lang))), TERM
 
 
+def instant(v: Value) -> Column:
+    c, rep = v
+    return T.instant(c) if rep == TERM else moment(v)
+
+
 def moment(v: Value) -> Column:
     c, rep = v
     return c if rep == MOMENT else T.moment(c) if rep == TERM else F.lit(None).cast("timestamp_ntz")
@@ -98,12 +106,16 @@ def equal(a: Value, b: Value) -> Column:
                 # compare the keys, so that a constant reaches the scan
                 key = F.when(short[0].startswith(long[1].meta), F.substring(short[0], F.lit(len(long[1].meta) + 1), F.char_length(short[0])))
                 return lex_of(*long) == F.concat(F.lit(long[1].meta), key)
+        if r.kind == q.kind == "lit":
+            return F.lit(None).cast("boolean")  # literals of different types: an error
         return F.when(x.isNotNull() & y.isNotNull(), F.lit(False))
     s, t = as_term(x, r), as_term(y, q)
     m, n = numeric(a), numeric(b)
     out = F.when(m[0].isNotNull() & n[0].isNotNull(), m[0] == n[0]) if m and n else F.when(F.lit(False), F.lit(False))
-    p, w = moment(a), moment(b)
-    return out.when(p.isNotNull() & w.isNotNull(), p == w).otherwise(s == t)
+    p, w = instant(a), instant(b)
+    out = out.when(p.isNotNull() & w.isNotNull(), p == w).when(s == t, F.lit(True))
+    apart = s.startswith('"') & t.startswith('"') & (T.datatype(s) != T.datatype(t))
+    return out.when(apart, F.lit(None).cast("boolean")).otherwise(s == t)
 
 
 ORDER = {
@@ -120,7 +132,7 @@ def compare(op: str, a: Value, b: Value) -> Column:
         return F.lit(None).cast("boolean")
     m, n = numeric(a), numeric(b)
     out = F.when(m[0].isNotNull() & n[0].isNotNull(), f(m[0], n[0])) if m and n else F.when(F.lit(False), F.lit(False))
-    p, w = moment(a), moment(b)
+    p, w = instant(a), instant(b)
     s, t = as_term(x, r), as_term(y, q)
     same = (T.datatype(s) == T.datatype(t)) & ~T.datatype(s).isin(T.NUMERIC)
     return out.when(p.isNotNull() & w.isNotNull(), f(p, w)).when(same, f(T.lexical(s), T.lexical(t)))
@@ -138,8 +150,8 @@ def rank(v: Value) -> Column | int:
 def number_term(c: Column, r: Column) -> Value:
     """A double as a term of the datatype that rank ``r`` says."""
     return (
-        F.when(r == 1, T.make_literal(c.cast("bigint").cast("string"), INTEGER.meta))
-        .when(r == 2, T.make_literal(c.cast("decimal(38,10)").cast("double").cast("string"), DECIMAL.meta))
+        F.when(r == 1, T.make_literal(c.try_cast("decimal(38,0)").cast("string"), INTEGER.meta))
+        .when(r == 2, T.make_literal(c.try_cast("decimal(38,10)").cast("double").cast("string"), DECIMAL.meta))
         .otherwise(T.make_literal(c.cast("string"), DOUBLE.meta)),
         TERM,
     )
@@ -255,6 +267,8 @@ class Expressions:
                 return F.coalesce(*cols), rep
             test = truth(values[0])
             return F.when(test, cols[0]).when(~test, cols[1]), rep
+        if name == "REGEX" and self._broken(args[1:]) or name == "REPLACE" and self._broken([args[1], *args[3:]]):
+            return F.lit(None).cast("string"), TERM
         f = getattr(self, "f_" + name.lower(), None)
         if f is None:
             raise Unsupported(f"no function {name}")
@@ -326,7 +340,8 @@ class Expressions:
         return F.char_length(text(v)).cast("bigint"), INTEGER
 
     def f_substr(self, v, start, length=None):
-        at, n = numeric(start)[0].cast("int"), (numeric(length)[0].cast("int") if length else F.lit(2**31 - 1))
+        within = lambda c: F.greatest(F.least(c.cast("double"), F.lit(2.0**30)), F.lit(-(2.0**30))).cast("int")  # noqa: E731  no text is longer
+        at, n = within(numeric(start)[0]), (within(numeric(length)[0]) if length else F.lit(2**30))
         # a start before the text uses up length, as in XPath
         first = F.greatest(at, F.lit(1))
         keep = F.greatest(F.when(at < 1, n + at - 1).otherwise(n), F.lit(0)) if length else n
@@ -363,7 +378,23 @@ class Expressions:
 
     def _pattern(self, pattern, flags):
         p = text(pattern)
-        return F.concat(F.lit("(?"), F.replace(text(flags), F.lit("q"), F.lit("")), F.lit(")"), p) if flags else p
+        if flags is None:
+            return p
+        f = text(flags)
+        quoted = F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        return F.concat(F.lit("(?"), F.replace(f, F.lit("q"), F.lit("")), F.lit(")"), F.when(F.contains(f, F.lit("q")), quoted).otherwise(p))
+
+    def _broken(self, args: list) -> bool:
+        """Whether constant pattern and flags are no regular expression."""
+        lex = [T.decode(a[1])[1] if isinstance(a, tuple) and a[0] == "const" else None for a in args[:2]]
+        spark = SparkSession.getActiveSession()
+        if None in lex or not lex or spark is None or len(lex) > 1 and "q" in lex[1]:
+            return False
+        try:
+            spark._jvm.java.util.regex.Pattern.compile((f"(?{lex[1]})" if len(lex) > 1 else "") + lex[0])
+        except Exception:  # noqa: BLE001  whatever the JVM says of it
+            return True
+        return False
 
     def f_regex(self, v, pattern, flags=None):
         return F.call_function("rlike", text(v), self._pattern(pattern, flags)), BOOLEAN
