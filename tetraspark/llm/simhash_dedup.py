@@ -141,7 +141,7 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     ``n``: their number, from which the number of leading bits follows. Each bucket returns a
     spanning forest of its links, at most one row for each fingerprint dealt to it. Buckets of over
-    DEALT fingerprints, as large groups of near copies make them, are dealt out anew by STEP more
+    DEALT fingerprints and four times the mean, as large groups of near copies make them, are dealt out anew by STEP more
     bits, until they are small or no bits are left; so no task gets a whole hot bucket.
     """
     if radius % 2 or radius < 0:
@@ -172,13 +172,14 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     found, before, width = None, 0, bits
     rows, most = distinct.select("fp", F.col("fp").alias("at")), n
+    limit = max(DEALT, 4 * n * len(nearby(bits)) >> bits)  # a hot bucket is one far beyond the mean
     while True:
         dealt = deal(rows, before, width)
         before, low = before + width, 64 - before - width
         small, hot = dealt, None
-        if low > 2 * STEP and most > DEALT:
+        if low > 2 * STEP and most > limit:
             # at most so many heads can be hot: every row is dealt to len(nearby) of them
-            sizes = dealt.groupBy("head").count().where(F.col("count") > DEALT)
+            sizes = dealt.groupBy("head").count().where(F.col("count") > limit)
             hot = durable(sizes.select(F.col("head").alias("__hot")))
             n_hot = hot.count()
             if n_hot:
