@@ -130,8 +130,10 @@ def _bucket_links(fp: np.ndarray, at: np.ndarray, low: int, radius: int) -> tupl
         b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
     else:
         a, b = _meet(at, left, low, radius)
-    close = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * radius  # the exact check of every colliding pair
-    root = _roots(n, a[close], b[close])
+        close = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * radius  # the exact check of every colliding pair
+        a, b = a[close], b[close]
+    # a forest's links join what a chain of checked pairs joins, and may be farther apart than these
+    root = _roots(n, a, b)
     other = np.flatnonzero(root != np.arange(n))
     return other, root[other]
 

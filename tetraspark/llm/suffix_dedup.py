@@ -15,6 +15,7 @@ last prefix) that occur more than once repeat whole; one of them stands for all
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, ship
+from .common import durable, keep, ship
 
 ship(__name__)
 
@@ -241,7 +242,8 @@ def stretches(docs: DataFrame) -> DataFrame:
     classes = own.groupBy("v", "c").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "s", "k")).alias("x"), F.max("twice").alias("twice"))
     every = Window.partitionBy("v")
     classes = classes.withColumn("total", F.sum("n").over(every)).withColumn("kinds", F.count("*").over(every))
-    classes = durable(classes.where((F.col("total") > 1) | F.col("twice")).select("v", "c", "n", "x.*", "twice", "kinds"))
+    classes = classes.where((F.col("total") > 1) | F.col("twice")).select("v", "c", "n", "x.*", "twice", "kinds")
+    classes = keep(classes, f"suffix-{uuid.uuid4().hex}")  # compressed, which checkpoints are not
     whole = classes.where("n > 1").select("v", "c")
     n_whole = whole.count()
     again = _run_rows(docs, combine=False).join(F.broadcast(whole) if n_whole <= SMALL else whole, ["v", "c"], "left_semi")
