@@ -7,10 +7,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.parser import Group, Var, parse_query
-from .store import pattern
+
+
+def _forms(x: str) -> list[str]:
+    """An IRI with and without its brackets; other terms as they are."""
+    if x.startswith(('"', "_:")):
+        return [x]
+    return [x, x[1:-1] if x.startswith("<") and x.endswith(">") else f"<{x}>"]
+
+
+def pattern(s=None, p=None, o=None) -> Column:
+    """A condition for quads that hold the given terms in either form; true if none is given."""
+    conds = [F.col(n).isin(_forms(x)) for n, x in zip("spo", (s, p, o)) if x is not None]
+    return reduce(Column.__and__, conds) if conds else F.lit(True)
 
 
 def intersect_patterns(quads: DataFrame, patterns: list) -> DataFrame:
@@ -45,7 +58,7 @@ def simple_query(quads: DataFrame, text: str) -> DataFrame:
                         cols = [hits[n] for n, x in zip("spo", own[0]) if x is None and n != e.a.name]
                         parts.append((hits.distinct() if len(own) > 1 else hits).select(*cols, hits["g"].alias(e.a.name)))
                 elif own:
-                    parts.append(intersect_patterns(quads.where(quads["g"] == e.a), own))
+                    parts.append(intersect_patterns(quads.where(quads["g"].isin(_forms(e.a))), own))
             elif e.kind in ("optional", "group", "minus"):
                 walk(e.a)
             elif e.kind == "union":

@@ -36,13 +36,54 @@ def pattern(s=None, p=None, o=None, g=None) -> Column:
     return reduce(Column.__and__, conds) if conds else F.lit(True)
 
 
+def _send(df: DataFrame, handler, each) -> None:
+    handler.start()
+    ok = False
+    try:
+        for row in df.toLocalIterator(prefetchPartitions=True):
+            if each(*row) is False:
+                break
+        ok = True
+    finally:
+        handler.end(ok)
+
+
 class SnapshotStore:
+    """A closed store refuses all use; closing saves nothing, and a ``with`` block closes at its end."""
+
+    #: What a store offers.
+    read_only = False
+    can_update = can_delete = can_list_graphs = True
+
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.changes = spark, path, 0
         self.quads = spark.createDataFrame([], SCHEMA)
         if path:
             self.load()
 
+    @property
+    def quads(self) -> DataFrame:
+        if self._quads is None:
+            raise StoreError("the store is closed")
+        return self._quads
+
+    @quads.setter
+    def quads(self, df: DataFrame | None) -> None:
+        self._quads = df
+
+    @property
+    def ready(self) -> bool:
+        return self._quads is not None
+
+    def close(self) -> None:
+        self.quads = None
+
+    def __enter__(self) -> SnapshotStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # -- versions
     def _files(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -99,6 +140,10 @@ class SnapshotStore:
     def query(self, s=None, p=None, o=None, g=None) -> DataFrame:
         return self.quads.where(pattern(s, p, o, g))
 
+    def count(self) -> int:
+        """All quads of the store, copies included."""
+        return self.quads.count()
+
     def delete(self, s=None, p=None, o=None, g=None) -> int:
         """Removes all matching quads, copies included, and returns how many there were."""
         cond = pattern(s, p, o, g)
@@ -136,6 +181,21 @@ class SnapshotStore:
         """Named graphs with IRIs as names."""
         return self.graph_names().where(F.col("g").startswith("<") & (F.col("g") != DEFAULT_GRAPH))
 
+    # -- pushed to a handler, row by row, without holding the answer
+    def send_graph(self, handler, g: str | None = None) -> None:
+        """``handler``: ``start()``, ``triple(s, p, o)`` for each triple until one returns False, ``end(ok)``."""
+        _send(self.load_graph(g), handler, handler.triple)
+
+    def send_query(self, text: str, triples, rows) -> None:
+        """CONSTRUCT and DESCRIBE go to ``triples``; others to ``rows``: ``row(bindings)`` without unbound names, or ``answer(bool)``."""
+        form, df = P.parse_query(text).form, self.sparql(text)
+        if form == "select":
+            _send(df, rows, lambda *r: rows.row({n: v for n, v in zip(df.columns, r) if v is not None}))
+        elif form == "ask":
+            _send(df, rows, rows.answer)
+        else:
+            _send(df, triples, triples.triple)
+
     # -- SPARQL
     def sparql(self, text: str, native: bool = False) -> DataFrame:
         return run_query(self.spark, QuadSource(self.quads), text, native)

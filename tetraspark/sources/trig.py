@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,20 @@ def read_string(spark: SparkSession, text: str, base: str = "http://example.org/
     return spark.createDataFrame(parse_trig(text, hashlib.md5(text.encode()).hexdigest()[:12], base), SCHEMA)
 
 
+def read_reader(spark: SparkSession, reader: TextIO, base: str = "http://example.org/base/") -> DataFrame:
+    """A document from an open text source; one document is parsed whole, on the driver."""
+    if reader is None:
+        raise ValueError("a reader is needed")
+    return read_string(spark, reader.read(), base)
+
+
+def read_stream(spark: SparkSession, stream: BinaryIO, base: str = "http://example.org/base/") -> DataFrame:
+    """A document from an open byte source in UTF-8, with or without a byte order mark."""
+    if stream is None:
+        raise ValueError("a stream is needed")
+    return read_string(spark, stream.read().decode("utf-8-sig"), base)
+
+
 def read_files(spark: SparkSession, path: str, base: str = "http://example.org/base/") -> DataFrame:
     """All documents that ``path`` names, each parsed by the task that reads it."""
     if not path or not path.strip():
