@@ -6,8 +6,8 @@ corpus that could share such a prefix with another one of its own, and sorts the
 difference cover {1, 2} modulo 3. Triples at sampled positions are sorted and named, the names are
 tripled again until they tell LENGTH bytes apart, the remaining suffixes are merged between the
 sampled ones, and the prefixes of neighbours are compared byte for byte. Where the suffixes of one
-smallest K-gram are many, those of a common line say, they are dealt out by two more orders of the
-hashes too, so that no task gets them all.
+smallest K-gram are many, those of a common line say, they are dealt out by the smallest K-grams of
+their prefixes' halves too, so that no task gets them all.
 
 What needs no sorting is settled first, without loss: suffixes whose smallest K-gram occurs once in
 the corpus repeat nothing, and runs of suffixes (same smallest K-gram, same bytes to the end of the
@@ -36,9 +36,8 @@ LENGTH, K = 200, 32
 TASK_BYTES = 1_500_000
 #: Classes up to which they are broadcast once their number is known; beyond, the join shuffles.
 SMALL = 500_000
-#: Classes of one smallest K-gram beyond which its suffixes are dealt out by the smallest under further orders as well.
+#: Classes of one smallest K-gram beyond which its suffixes are dealt out by that of the prefix's two halves as well.
 HOT = 64
-ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
 
@@ -73,9 +72,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def smallest(h: np.ndarray) -> np.ndarray:
-    """The smallest hash among the K-grams of each LENGTH bytes."""
-    width = LENGTH - K + 1
+def smallest(h: np.ndarray, width: int = LENGTH - K + 1) -> np.ndarray:
+    """The smallest of each ``width`` hashes; by default, among the K-grams of each LENGTH bytes."""
     least, span = h, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -86,16 +84,19 @@ def smallest(h: np.ndarray) -> np.ndarray:
 
 
 def finer(v: int, s: int, k: int, data: bytes, hasher: Hasher) -> list[tuple[int, int, int, bytes]]:
-    """The run of ``k`` suffixes, cut into runs that also agree in their smallest K-grams under ORDERS.
+    """The run of ``k`` suffixes, cut into runs that also agree in the smallest K-gram of each half of their prefixes.
 
-    Suffixes with one prefix of LENGTH bytes agree in all of these, so they still meet.
+    Suffixes with one prefix of LENGTH bytes agree in both, so they still meet; a common line within
+    different texts fills one half at most, unless it is nearly as long as the prefix.
     """
     found = np.frombuffer(data, np.uint8)
     hasher.grow(len(found) + 1)
     h = hasher.grams(found)
+    half = (LENGTH - K + 1) // 2
+    least = smallest(h, half)
     key = np.full(k, v, np.int64).view(np.uint64)
-    for order in ORDERS:
-        key = mix(key * np.uint64(BASE) + smallest(mix(h ^ np.uint64(order))))
+    for part in (least[:k], least[LENGTH - K + 1 - half :][:k]):
+        key = mix(key * np.uint64(BASE) + part)
     start = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)).tolist()
     return [(int(x), s + a, b - a, data[a : b + LENGTH - 1]) for x, a, b in zip(key.view(np.int64)[start], start, start[1:] + [k])]
 
