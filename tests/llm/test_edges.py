@@ -210,42 +210,3 @@ def test_stages_on_odd_tables(spark, docs, tmp_path):
                 assert out.columns == docs.columns, name
             if table is docs:
                 assert {1, None} <= {r.doc_id for r in rows}, name
-
-
-def test_suffixes_around_a_common_line_meet_in_many_tasks(spark, monkeypatch):
-    """A line that hundreds of different texts hold is one hot group; cutting it into finer ones loses nothing."""
-    import random
-
-    import numpy as np
-
-    from tetraspark.llm import suffix_dedup as S
-
-    r = random.Random(8)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
-    line = " ".join(word() for _ in range(14))[:90]
-    ends = [" ".join(word() for _ in range(30))[:150] for _ in range(20)]
-    texts = [" ".join(word() for _ in range(40))[: r.randint(120, 200)] + line + r.choice(ends)[: r.randint(60, 150)] + "".join(word() for _ in range(30)) for _ in range(400)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen: dict = {}
-    for d, t in enumerate(texts):
-        for i in range(len(t) - S.LENGTH + 1):
-            seen.setdefault(t[i : i + S.LENGTH], []).append((d, i))
-    want = [set() for _ in texts]
-    for at in seen.values():
-        if len(at) > 1:
-            for d, i in at:
-                want[d].update(range(i, i + S.LENGTH))
-    assert 50 < sum(map(bool, want)) < 400
-    for hot in (1 << 40, 16):
-        monkeypatch.setattr(S, "HOT", hot)
-        got = {x.doc_id: x.n_removed for x in S.repeats(docs).collect()}
-        assert got == {d: len(x) for d, x in enumerate(want)}
-    # the runs around the line fall into more groups than one
-    hasher, groups = S.Hasher(), []
-    for t in texts:
-        v, _, start, k, _ = S.runs(np.frombuffer(t.encode(), np.uint8), hasher)
-        for x, s, n in zip(v.view("int64").tolist(), start.tolist(), k.tolist()):
-            groups.append((x, [g[0] for g in S.finer(x, s, n, t.encode()[s : s + n + S.LENGTH - 1], hasher)]))
-    common = max({x for x, _ in groups}, key=[x for x, _ in groups].count)
-    keys = [g for x, gs in groups if x == common for g in gs]
-    assert max(keys.count(x) for x in set(keys)) < len(keys) / 2

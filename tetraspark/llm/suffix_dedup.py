@@ -5,9 +5,7 @@ K-grams is the same, so suffixes are dealt out by it: each task then holds every
 corpus that could share such a prefix with another one of its own, and sorts them with the
 difference cover {1, 2} modulo 3. Triples at sampled positions are sorted and named, the names are
 tripled again until they tell LENGTH bytes apart, the remaining suffixes are merged between the
-sampled ones, and the prefixes of neighbours are compared byte for byte. Where the suffixes of one
-smallest K-gram are many, those of a common line say, they are dealt out by the smallest K-grams of
-their prefixes' halves too, so that no task gets them all.
+sampled ones, and the prefixes of neighbours are compared byte for byte.
 
 What needs no sorting is settled first, without loss: suffixes whose smallest K-gram occurs once in
 the corpus repeat nothing, and runs of suffixes (same smallest K-gram, same bytes to the end of the
@@ -36,8 +34,6 @@ LENGTH, K = 200, 32
 TASK_BYTES = 1_500_000
 #: Classes up to which they are broadcast once their number is known; beyond, the join shuffles.
 SMALL = 500_000
-#: Classes of one smallest K-gram beyond which its suffixes are dealt out by that of the prefix's two halves as well.
-HOT = 64
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses
 
@@ -72,35 +68,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def smallest(h: np.ndarray, width: int = LENGTH - K + 1) -> np.ndarray:
-    """The smallest of each ``width`` hashes; by default, among the K-grams of each LENGTH bytes."""
-    least, span = h, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if rest := width - span:
-        least = np.minimum(least[:-rest], least[rest:])
-    return least
-
-
-def finer(v: int, s: int, k: int, data: bytes, hasher: Hasher) -> list[tuple[int, int, int, bytes]]:
-    """The run of ``k`` suffixes, cut into runs that also agree in the smallest K-gram of each half of their prefixes.
-
-    Suffixes with one prefix of LENGTH bytes agree in both, so they still meet; a common line within
-    different texts fills one half at most, unless it is nearly as long as the prefix.
-    """
-    found = np.frombuffer(data, np.uint8)
-    hasher.grow(len(found) + 1)
-    h = hasher.grams(found)
-    half = (LENGTH - K + 1) // 2
-    least = smallest(h, half)
-    key = np.full(k, v, np.int64).view(np.uint64)
-    for part in (least[:k], least[LENGTH - K + 1 - half :][:k]):
-        key = mix(key * np.uint64(BASE) + part)
-    start = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)).tolist()
-    return [(int(x), s + a, b - a, data[a : b + LENGTH - 1]) for x, a, b in zip(key.view(np.int64)[start], start, start[1:] + [k])]
-
-
 def runs(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
     """(v, c, start, count, twice) of the runs of suffixes that share their smallest K-gram hash v.
 
@@ -110,14 +77,20 @@ def runs(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
     n = len(data)
     hasher.grow(n + 1)
     h = hasher.grams(data)
-    least = smallest(h)
+    width = LENGTH - K + 1
+    least, span = h, 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if rest := width - span:
+        least = np.minimum(least[:-rest], least[rest:])
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     start = np.concatenate((np.zeros(1, np.int64), cut))
     end = np.concatenate((cut, [len(least)]))  # of the suffixes' starts
     v = least[start]
     raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
     c = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), (end + (LENGTH - 1)).tolist())), np.uint64, len(start))
-    twice = np.fromiter((np.count_nonzero(h[s : e + LENGTH - K] == x) > 1 for s, e, x in zip(start.tolist(), end.tolist(), v)), bool, len(v))
+    twice = np.fromiter((np.count_nonzero(h[s : e + width - 1] == x) > 1 for s, e, x in zip(start.tolist(), end.tolist(), v)), bool, len(v))
     return v, c, start, end - start, twice
 
 
@@ -276,19 +249,16 @@ def stretches(docs: DataFrame) -> DataFrame:
     again = _run_rows(docs, combine=False).join(F.broadcast(whole) if n_whole <= SMALL else whole, ["v", "c"], "left_semi")
     found = again.select("rid", F.col("s").alias("a"), (F.col("s") + F.col("k") + (LENGTH - 1)).alias("b"))
     open_ = classes.where("kinds > 1 or twice")
-    size = open_.agg(F.sum((F.col("k") + (LENGTH - 1)) * F.when(F.col("kinds") > HOT, 3).otherwise(1))).first()[0]  # cut runs overlap
+    size = open_.agg(F.sum(F.col("k") + (LENGTH - 1))).first()[0]
     if size:
-        asked = open_.groupBy("rid").agg(F.collect_list(F.struct("v", "s", "k", (F.col("kinds") > HOT).alias("hot"))).alias("q"))
+        asked = open_.groupBy("rid").agg(F.collect_list(F.struct("v", "s", "k")).alias("q"))
 
         @F.pandas_udf("array<struct<v:long,s:int,k:int,data:binary>>")
         def cut(texts: pd.Series, asks: pd.Series) -> pd.Series:
-            hasher, out = Hasher(), []
+            out = []
             for text, q in zip(texts, asks):
-                data, own = _bytes(text), []
-                for x in q:
-                    at = data[x["s"] : x["s"] + x["k"] + LENGTH - 1]
-                    own += finer(x["v"], x["s"], x["k"], at, hasher) if x["hot"] else [(x["v"], x["s"], x["k"], at)]
-                out.append(own)
+                data = _bytes(text)
+                out.append([(x["v"], x["s"], x["k"], data[x["s"] : x["s"] + x["k"] + LENGTH - 1]) for x in q])
             return pd.Series(out)
 
         texts = docs.select("rid", "text").join(asked, "rid")
