@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 ship(__name__)
 
@@ -201,6 +201,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
+    @lean
     def run(batches):
         bpe = Bpe(source.value)
         decimal = {i: str(i) for i in bpe.strings}

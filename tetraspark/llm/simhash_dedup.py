@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, ship
+from .common import components, durable, give_back, ship
 
 ship(__name__)
 
@@ -251,8 +251,12 @@ def _minhashes(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<key long, n int, bands array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"key": [_key(s) for s in sets], "n": [len(s) for s in sets], "bands": [_bands(s, mult, add) if len(s) else [] for s in sets]})
+        rows = []
+        for t in texts:  # one set at a time
+            s = shingle_set(t)
+            rows.append((_key(s), len(s), _bands(s, mult, add) if len(s) else []))
+        give_back()
+        return pd.DataFrame(rows, columns=["key", "n", "bands"])
 
     got = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), of("text").alias("x"))
     return got.select("id", "tk", "x.key", "x.n", "x.bands")
@@ -264,7 +268,10 @@ def _sets(docs: DataFrame, base: DataFrame, asked: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<key long, sh binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"key": [_key(s) for s in sets], "sh": [s.tobytes() for s in sets]})
+        out = pd.DataFrame({"key": [_key(s) for s in sets], "sh": [s.tobytes() for s in sets]})
+        del sets
+        give_back()
+        return out
 
     one = base.join(asked, "key").groupBy("key").agg(F.min("tk").alias("__tk")).select("__tk")
     texts = docs.select("text", F.xxhash64("text").alias("tk")).join(one, F.col("tk") == F.col("__tk"), "left_semi").dropDuplicates(["tk"])

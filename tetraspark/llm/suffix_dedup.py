@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, keep, ship
+from .common import durable, give_back, keep, lean, ship
 
 ship(__name__)
 
@@ -101,6 +101,7 @@ def _bytes(text: str | None) -> bytes:
 def _run_rows(docs: DataFrame, combine: bool) -> DataFrame:
     """The runs of all texts; with ``combine``, equal runs of a batch are one row with their number."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for pdf in batches:
@@ -206,6 +207,7 @@ def repeated_starts(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
 def _sorted_out(contexts: DataFrame, tasks: int) -> DataFrame:
     """(rid, a, b): stretches of repeated bytes, found by sorting the suffixes of each task's contexts."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [pdf for pdf in batches if len(pdf)]
         if not got:
@@ -259,6 +261,7 @@ def stretches(docs: DataFrame) -> DataFrame:
             for text, q in zip(texts, asks):
                 data = _bytes(text)
                 out.append([(x["v"], x["s"], x["k"], data[x["s"] : x["s"] + x["k"] + LENGTH - 1]) for x in q])
+            give_back()
             return pd.Series(out)
 
         texts = docs.select("rid", "text").join(asked, "rid")
@@ -319,6 +322,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             data = _bytes(text)
             spans = covered(len(data), s)
             out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest()))
+        give_back()
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = keyed.join(stretches(keyed), "rid", "left")
@@ -352,6 +356,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     b -= 1
                 spans.append((a, b))
             out.append(kept_bytes(data, spans).decode("utf-8", "surrogatepass"))
+        give_back()
         return pd.Series(out)
 
     joined = keyed.join(stretches(keyed.select("rid", "text")), "rid", "left").withColumn("text", rest("text", "x"))

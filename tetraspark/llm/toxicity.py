@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 
 ship(__name__)
 
@@ -80,6 +80,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     UNLABELLED; the order of the ids' hashes decides, whatever the size of the tables.
     """
 
+    @lean
     def of(batches):
         for b in batches:
             f = [features(t).astype(np.int32) for t in b.column(2).to_pylist()]
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     held = F.coalesce(_fold("doc_id") == 0, F.lit(False))
     of = scorer(model)
 
+    @lean
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
@@ -243,6 +245,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     of, at = scorer(train(docs, labels)), docs.columns.index("text")
 
+    @lean
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(of(b.column(at).to_pylist()) < 0.5))
