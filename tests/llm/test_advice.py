@@ -237,3 +237,17 @@ def test_keep_one_passes_null_texts(spark):
     rows = [(1, None), (2, None), (3, " "), (4, ""), (5, "a b c"), (6, "A b  c"), (None, "a b c"), (None, None)]
     got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, None), (2, None), (3, " "), (5, "a b c"), (None, "a b c"), (None, None)])
+
+
+def test_toxicity_sample_is_packed(spark):
+    """pipeline, toxicity: the training sample reaches the driver as packed arrays, with the features of whole texts."""
+    from tetraspark.llm import toxicity
+
+    texts = {d: f"word{d} again again other{d % 7} " * 3 for d in range(40)} | {40: None, 41: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 2)) for d in texts], "doc_id long, toxic int")
+    pos, unl, _ = toxicity.training_sample(docs, labels)
+    assert pos and unl and all(isinstance(f, np.ndarray) and f.dtype == np.int32 for f in pos + unl)
+    learned = sorted(f.tolist() for f in pos + unl)
+    fold = {r.doc_id for r in docs.where("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id").collect()}
+    assert learned == sorted(toxicity.features(texts[d]).tolist() for d in fold)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, ship
+from .common import give_back, lean, ship
 
 ship(__name__)
 
@@ -83,8 +83,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     @lean
     def of(batches):
         for b in batches:
-            f = [features(t).astype(np.int32) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "y", "f"])
+            f = [features(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["doc_id", "y", "f"])
 
     seen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_fold("doc_id") != 0))
     seen = seen.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -101,9 +101,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, flo
     # of an id's several texts the one of the least hash; at most POSITIVES + UNLABELLED ids are broadcast
     got = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = got.select("doc_id", "y", "text").mapInArrow(of, f"doc_id {kind}, y int, f array<int>").collect()
+    # packed, as a list of Python numbers takes some ten times the memory on the driver
+    rows = got.select("doc_id", "y", "text").mapInArrow(of, f"doc_id {kind}, y int, f binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["f"] for r in rows if r["y"]], [r["f"] for r in rows if not r["y"]], prior
+    pos, unl = ([np.frombuffer(r["f"], np.int32) for r in rows if r["y"] == y] for y in (1, 0))
+    return pos, unl, prior
 
 
 def without_copies(rows: list) -> list:
@@ -193,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if not len(chosen):
         return chosen, np.zeros(0), float(np.log(min(prior, NEUTRAL) / (1 - min(prior, NEUTRAL))))
     w, b = fit(dense(pos, chosen), dense(unl, chosen), prior)
+    del pos, unl
+    give_back()
     return chosen, w, b
 
 
