@@ -28,10 +28,15 @@ EXPANDED = 1 << 21
 #: Values that one task expands in all; fingerprints in a bucket beyond which STEP more bits deal it out anew; hot
 #: buckets (one number each, a MB in all) up to which their list is broadcast.
 TASK, DEALT, STEP, HOT = 1 << 26, 1 << 14, 6, 1 << 17
-#: ``keep_one``: words of a shingle, least Jaccard similarity, and MinHash bands. Ball hashing can't reach the some 21
-#: bits that this similarity needs; a pair of exactly 0.8 shares no band once in (1 - 0.8 ** 5) ** -30 = 150,000 pairs.
+#: ``keep_one``: words of a shingle, and least Jaccard similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 30, 5
+#: Its blocks of a wide SimHash: bits within which ball hashing looks, and how many of them may differ; sets that meet in
+#: one task; members of a run of equal values up to which all pairs are checked; bits that check a pair, and how many of
+#: them may differ.
+BLOCK, WITHIN, MEET, RUN, CHECK, FAR = 21, 2, 1 << 18, 64, 128, 42
+#: Chance that a bit differs at the least similarity (3/16 for sets of 4 and 5 shingles, at most 0.162 for others), and the
+#: share of such pairs that may meet in no block.
+DIFFER, MISSED = 3 / 16, 1e-4
 #: Members of a family that a task compares with as many others.
 CHUNK = 1024
 
@@ -233,33 +238,185 @@ def _key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
 
 
-def _bands(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """One hash for each band of MinHash values."""
-    least = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 12):
-        part = shingles[at : at + (1 << 12)]
-        np.minimum(least, (mult[:, None] * part[None, :] + add[:, None]).min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits: majority vote over as many hashes of every shingle, made from its own."""
+    votes = np.zeros(64 * words, np.int64)
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 255):  # so many votes fit a byte
+        z = shingles[at : at + 255, None] + salt
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        bits = np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(shingles), bitorder="little").view("<u8")
 
 
-def _minhashes(docs: DataFrame) -> DataFrame:
-    """(id, tk, key, n, bands) for every row: hash of the text, name and size of its shingle set, band hashes."""
-    rng = np.random.default_rng(42)
-    mult = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+def layout(n: int) -> tuple[int, int, int]:
+    """(prefix, blocks, words) for ``n`` sets: bits that deal a block's sets out to tasks, blocks, 64-bit words of a fingerprint.
 
-    @F.pandas_udf("struct<key long, n int, bands array<long>>")
+    A pair meets in a block when the prefix agrees and at most WITHIN of the BLOCK bits that follow
+    differ. There are as many blocks as make pairs of the least similarity miss all of them with
+    chance MISSED.
+    """
+    prefix = max(0, math.ceil(math.log2(max(1, n) / MEET)))
+    ball = sum(math.comb(BLOCK, c) * DIFFER**c * (1 - DIFFER) ** (BLOCK - c) for c in range(WITHIN + 1))
+    blocks = math.ceil(math.log(MISSED) / math.log1p(-ball * (1 - DIFFER) ** prefix))
+    return prefix, blocks, -(-(CHECK + blocks * (prefix + BLOCK)) // 64)
+
+
+def _wide(docs: DataFrame, words: int) -> DataFrame:
+    """(id, tk, key, n, fp) for every row: hash of the text, name, size and wide SimHash of its shingle set."""
+
+    @F.pandas_udf("struct<key long, n int, fp binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:  # one set at a time
             s = shingle_set(t)
-            rows.append((_key(s), len(s), _bands(s, mult, add) if len(s) else []))
+            rows.append((_key(s), len(s), wide_fingerprint(s, words).tobytes()))
         give_back()
-        return pd.DataFrame(rows, columns=["key", "n", "bands"])
+        return pd.DataFrame(rows, columns=["key", "n", "fp"])
 
     got = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), of("text").alias("x"))
-    return got.select("id", "tk", "x.key", "x.n", "x.bands")
+    return got.select("id", "tk", "x.key", "x.n", "x.fp")
+
+
+def _sized(n, m):
+    """Whether sets of ``n`` and ``m`` shingles can be similar enough."""
+    return np.minimum(n, m) >= np.maximum(n, m) * SIMILARITY - 1e-9
+
+
+def _run_links(run: np.ndarray, near) -> tuple[list, list]:
+    """Links that join all of a long run that pairs ``near`` each other join, and perhaps more, without trying all pairs.
+
+    Leaders are compared with the whole run, and what none of them takes as well; the groups of two
+    leaders are joined unseen, as members of theirs may be near.
+    """
+    a, b, heads, rest = [], [], [], run
+    while len(rest) > RUN and len(a) < RUN:
+        found = run[near(np.full(len(run), rest[0]), run)]
+        a.append(np.full(len(found), rest[0]))
+        b.append(found)
+        heads += [rest[0]] * (len(found) > 1)
+        rest = rest[~np.isin(rest, found)]
+    if len(rest) > RUN:
+        heads += rest.tolist()
+    else:
+        for i in rest:
+            found = run[near(np.full(len(run), i), run)]
+            a.append(np.full(len(found), i))
+            b.append(found)
+    a.append(np.array(heads[:-1], np.int64))
+    b.append(np.array(heads[1:], np.int64))
+    return a, b
+
+
+def _block_links(block: np.ndarray, check: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, near): links between sets that meet in a block, by ball hashing.
+
+    Every set emits all values within half of WITHIN bits, and equal values meet. ``check`` are two
+    words, ``n`` sizes; ``near`` pairs pass both. All near pairs that meet are joined by the links, which
+    are a forest and every set's near pair with the first other.
+    """
+    a, b = [], []
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(check[x] ^ check[y]).sum(axis=1) <= FAR) & _sized(n[x], n[y])
+
+    # of much-repeated blocks the sets are joined, and more than RUN of each go on, whose runs are long so
+    order = np.argsort(block, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(block[order], block[order])
+    many = np.flatnonzero(place > RUN)
+    a.append(order[many - 1])
+    b.append(order[many])
+    rows = np.sort(order[place <= RUN])
+    masks = [sum(1 << i for i in ix) for c in range(WITHIN // 2 + 1) for ix in _choose(BLOCK, c).tolist()]
+    parts = max(0, math.ceil(math.log2(max(1, len(rows) * len(masks)) / EXPANDED)))
+    for head in range(1 << parts):
+        values = []
+        for m in masks:
+            v = block[rows] ^ np.uint32(m)
+            own = np.flatnonzero(v >> np.uint32(BLOCK - parts) == head) if parts else slice(None)
+            values.append(v[own].astype(np.uint64) << np.uint64(32) | rows[own].astype(np.uint64))
+        both = np.sort(np.concatenate(values))
+        v, o = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        size = np.diff(np.append(starts, len(v)))
+        for s, c in zip(starts[size > RUN], size[size > RUN]):
+            x, y = _run_links(o[s : s + c], near)
+            a += x
+            b += y
+        left = np.repeat(np.where(size > RUN, 0, starts + size), size) - np.arange(len(v)) - 1  # how many of a short run follow
+        left = left.clip(0)
+        at = np.flatnonzero(left)
+        for step in range(1, RUN):
+            at = at[left[at] >= step]
+            if not len(at):
+                break
+            for i in range(0, len(at), 1 << 19):
+                x, y = o[at[i : i + (1 << 19)]], o[at[i : i + (1 << 19)] + step]
+                ok = near(x, y)
+                a.append(x[ok])
+                b.append(y[ok])
+    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    root = _roots(len(block), a, b)
+    other = np.flatnonzero(root != np.arange(len(block)))
+    first = np.full(len(block), len(block))
+    ok = near(a, b)
+    np.minimum.at(first, b[ok], a[ok])
+    least = np.flatnonzero(first < len(block))
+    pairs = np.unique(np.concatenate([np.stack([root[other], other], 1), np.stack([first[least], least], 1)]), axis=0)
+    return pairs[:, 0], pairs[:, 1], near(pairs[:, 0], pairs[:, 1])
+
+
+def _met(one: DataFrame, prefix: int, blocks: int) -> DataFrame:
+    """(a, b, near): links between the shingle sets of ``one`` (key, n, fp) that meet in a block of their wide SimHash.
+
+    A set goes to one task for each block, in packed rows of a name, a size, a block and the checking bits.
+    """
+
+    def deal(batches):
+        width = prefix + BLOCK
+        powers = (np.uint32(1) << np.arange(BLOCK, dtype=np.uint32)), (np.int64(1) << np.arange(prefix, dtype=np.int64))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
+            key, n, check = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int32), fp[:, : CHECK // 8]
+            bits = np.unpackbits(fp[:, CHECK // 8 :], axis=1, bitorder="little")
+            rows = []
+            for t in range(blocks):
+                own = bits[:, t * width : (t + 1) * width]
+                low, head = own[:, :BLOCK] @ powers[0], own[:, BLOCK:] @ powers[1]
+                for h in np.unique(head):
+                    ix = np.flatnonzero(head == h)
+                    rows.append((t, int(h), key[ix].tobytes(), n[ix].tobytes(), low[ix].astype(np.uint32).tobytes(), check[ix].tobytes()))
+            yield pd.DataFrame(rows, columns=["t", "h", "key", "n", "low", "chk"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n, low, check = (np.frombuffer(b"".join(pdf[c]), k) for c, k in (("key", np.int64), ("n", np.int32), ("low", np.uint32), ("chk", np.uint64)))
+        order = np.argsort(key)  # the first is that of the least name in every block
+        a, b, near = _block_links(low[order], check.reshape(-1, CHECK // 64)[order], n[order])
+        key = key[order]
+        out = pd.DataFrame({"a": key[a], "b": key[b], "near": near})
+        give_back()
+        return out
+
+    dealt = one.select("key", "n", "fp").mapInPandas(deal, "t int, h long, key binary, n binary, low binary, chk binary")
+    return dealt.groupBy("t", "h").applyInPandas(meet, "a long, b long, near boolean")
+
+
+def _partners(met: DataFrame) -> DataFrame:
+    """(b, others, first): all that a set has links to, at most two a block, and the first that it is near to."""
+    return met.groupBy("b").agg(F.collect_set("a").alias("others"), F.min(F.when(F.col("near"), F.col("a"))).alias("first"))
+
+
+def _contracted(star: DataFrame) -> DataFrame:
+    """(a, b) that join what the links of ``star`` join: one for each b, and those between the distinct others of all b."""
+    least = F.array_min("others")
+    each = star.select(least.alias("a"), "b", F.explode("others").alias("o"))
+    return each.select("a", F.when(F.col("o") == F.col("a"), F.col("b")).otherwise(F.col("o")).alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, base: DataFrame, asked: DataFrame) -> DataFrame:
@@ -297,11 +454,11 @@ def _similar(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _chunk_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """A forest of the links between members of two chunks that share a band and aren't joined yet, by their exact sets."""
+    """A forest of the links between members of two chunks that are near by SimHash and aren't joined yet, by their exact sets."""
     none = pd.DataFrame({"a": [], "b": []})
     if not len(left) or not len(right):
         return none
-    one, two = (np.array(list(x["bands"]), np.int64) for x in (left, right))
+    one, two = (np.frombuffer(b"".join(x["chk"]), np.uint64).reshape(len(x), -1) for x in (left, right))
     n, m = left["n"].to_numpy(), right["n"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in left["sh"]], [np.frombuffer(x, np.uint64) for x in right["sh"]]
     names, at = np.unique(np.concatenate(sets[1]), return_inverse=True)
@@ -309,7 +466,7 @@ def _chunk_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     mark = np.zeros(len(names), bool)
     a, b = [], []
     for i, own in enumerate(sets[0]):
-        ask = (one[i] == two).any(axis=1) & (right["root"].to_numpy() != left["root"].iat[i]) & (np.minimum(n[i], m) >= np.maximum(n[i], m) * SIMILARITY - 1e-9)
+        ask = (np.bitwise_count(one[i] ^ two).sum(axis=1) <= FAR) & (right["root"].to_numpy() != left["root"].iat[i]) & _sized(n[i], m)
         if not ask.any():
             continue
         place = np.searchsorted(names, own).clip(max=len(names) - 1)
@@ -329,7 +486,7 @@ def _chunk_links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def _across(docs: DataFrame, base: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) between ``members`` (fam, key, root, n, bands) of one family and different roots.
+    """Links (a, b) between ``members`` (fam, key, root, n, chk) of one family and different roots.
 
     A family is cut into chunks of about CHUNK members: those of one large root by their keys, small
     roots whole, by their names. Two chunks meet in a group of their own, unless both are of one root, so
@@ -342,12 +499,12 @@ def _across(docs: DataFrame, base: DataFrame, members: DataFrame) -> DataFrame:
     cut = lambda of, total: F.pmod(F.xxhash64(of), F.ceil(total / CHUNK).cast("long"))
     placed = placed.withColumn("chunk", F.when(large, F.struct(F.col("root").alias("of"), cut("key", F.col("c")).alias("at"), F.lit(True).alias("one")))
                                .otherwise(F.struct(F.lit(0).cast("long").alias("of"), cut("root", F.greatest("s", F.lit(1))).alias("at"), F.lit(False).alias("one"))))
-    placed = durable(placed.select("fam", "key", "root", "n", "bands", "chunk"))
+    placed = durable(placed.select("fam", "key", "root", "n", "chk", "chunk"))
     chunks = placed.select("fam", "chunk").distinct()
     pairs = chunks.withColumnRenamed("chunk", "x").join(chunks.withColumnRenamed("chunk", "y"), "fam").where("x <= y")
     pairs = durable(pairs.where(~(F.col("x.one") & F.col("y.one") & (F.col("x.of") == F.col("y.of")))).withColumn("g", F.xxhash64("fam", "x", "y")))
     full = placed.join(_sets(docs, base, placed.select("key").distinct()), "key")
-    names = ["g", "key", "root", "n", "bands", "sh"]
+    names = ["g", "key", "root", "n", "chk", "sh"]
     side = lambda c: full.join(pairs.select("fam", F.col(c).alias("chunk"), "g"), ["fam", "chunk"]).select(*[F.col(x).alias(f"{x}_{c}") for x in names])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -359,26 +516,24 @@ def _across(docs: DataFrame, base: DataFrame, members: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row: groups linked by five-word shingle similarity of SIMILARITY or more.
 
-    Candidates share a MinHash band and have sizes that allow the similarity; the exact shingle sets
-    decide. First all members of a bucket are compared with its least. Then members of different
-    roots, in families that buckets hold together, meet in chunks; only a forest of their links leaves a task.
+    Candidates meet by ball hashing in a block of their sets' wide SimHash, differ in at most FAR of
+    CHECK bits and have sizes that allow the similarity; the exact shingle sets decide. First every set is
+    compared with the first that it met. Then members of different roots, in families that
+    the blocks' links hold together, meet in chunks; only a forest of their links leaves a task.
     """
-    base = durable(_minhashes(docs))
-    one = base.groupBy("key", "n").agg(F.first("bands").alias("bands"))
-    placed = durable(one.select("key", "n", F.explode("bands").alias("v")))
-    shared = placed.groupBy("v").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("v", "a")
-    placed = durable(placed.join(shared, "v"))  # what is alone in its bucket is done with
-    sizes = placed.where("key = a").select("v", F.col("n").alias("m"))
-    star = durable(placed.where("key <> a").join(sizes, "v").select("a", F.col("key").alias("b"), "n", "m").distinct())
-    edges = durable(_similar(docs, base, star.where(F.least("n", "m") >= F.greatest("n", "m") * SIMILARITY - 1e-9).select("a", "b")))
+    prefix, blocks, words = layout(docs.count())
+    base = durable(_wide(docs, words))
+    one = durable(base.where("n > 0").groupBy("key", "n").agg(F.first("fp").alias("fp")))
+    star = durable(_partners(_met(one, prefix, blocks)))
+    edges = durable(_similar(docs, base, star.where("first is not null").select(F.col("first").alias("a"), "b")))  # a pair a set, so few sets travel
 
     def rooted(df: DataFrame, cc: DataFrame) -> DataFrame:
         return df.join(cc.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    family = components(star.select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("fam"))
+    family = components(_contracted(star)).select(F.col("node").alias("key"), F.col("root").alias("fam"))
     split = rooted(family, components(edges))
     several = split.groupBy("fam").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("fam")
-    left = durable(split.join(several, "fam", "left_semi").join(one, "key"))
+    left = durable(split.join(several, "fam", "left_semi").join(one.select("key", "n", F.substring("fp", 1, CHECK // 8).alias("chk")), "key"))
     cc = components(edges.unionByName(_across(docs, base, left)))
     named = rooted(base.select("id", "key"), cc)
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
