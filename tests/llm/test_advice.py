@@ -320,3 +320,23 @@ def test_blocks_reach_similarity():
             pair = {0: S.wide_fingerprint(s[: common + x], words), 1: S.wide_fingerprint(np.concatenate([s[:common], s[common + x :]]), words)}
             missed += not list(brute_blocks(pair, {0: common + x, 1: common + y}, blocks, prefix))
         assert missed <= 2
+
+
+def test_op6_part_memory():
+    """op6: a part's counts and losses take fewer than 150 bytes a token at their peak (before: 213)."""
+    import tracemalloc
+
+    from tetraspark.llm import lm_score as L
+
+    rng = np.random.default_rng(2)
+    names = np.sort(rng.integers(2, 1 << 63, 20_000, np.uint64))
+    texts = [np.concatenate([[0], rng.integers(1, 20_001, 400), [0]]) for _ in range(1000)]
+    t = np.concatenate([[0], np.arange(1, 20_001), [0], *texts]).astype(np.uint64)
+    row = {"ids": list(range(1001)), "lengths": L.pack(np.array([20_002, *[402] * 1000], np.uint64)), "tokens": L.pack(t), "n_tokens": len(t), "n_words": len(names), "names": L.pack(L.steps(names))}
+    tracemalloc.start()
+    part = L.Part(row, np.zeros(len(names), bool), set(range(0, 1001, 3)))
+    sums = [c.astype(np.int64) for c in part.counts()]
+    part.losses(sums, [int(t.size), int(t.size)], len(names) + 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(t)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import give_back, keep, ship
 
 ship(__name__)
 
@@ -96,6 +96,8 @@ def exchange(dealt: DataFrame, width: int) -> DataFrame:
             own = np.concatenate([unpack(c, m) for c, m in zip(pdf[f"c{i}"], pdf["m"])]).astype(np.int64)
             sums = np.bincount(at, own, len(one)).astype(np.uint64)  # exact below 2 ** 53
             out[f"c{i}"] = [pack(sums[at[a:z]]) for a, z in zip(cuts, cuts[1:])]
+        del names, one, at, own, sums
+        give_back()
         return out
 
     columns = ", ".join(f"c{i} binary" for i in range(width))
@@ -133,6 +135,7 @@ def _encoded(docs: DataFrame) -> DataFrame:
             n = np.bincount(t, minlength=len(names) + 1)
             out = [(task << 31) + made, ids, pack(np.array(lengths, np.uint64)), pack(t.astype(np.uint64)), len(t), len(names), pack(steps(names)), pack(n[1:].astype(np.uint64))]
             made += 1
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([x], type=f) for x, f in zip(out, types)], names=columns)
 
         for batch in batches:
@@ -165,34 +168,38 @@ class Part:
         n = int(row["n_words"])
         names = np.cumsum(unpack(row["names"], n), dtype=np.uint64)
         known = np.where(once, np.uint64(UNKNOWN), names)
-        t = unpack(row["tokens"], int(row["n_tokens"])).astype(np.int64)
+        t = unpack(row["tokens"], int(row["n_tokens"])).astype(np.int32)
         self.lengths = unpack(row["lengths"], len(row["ids"])).astype(np.int64)
         self.hit = np.array([i in hit for i in range(len(self.lengths))], bool)
-        self.known = np.where(t > 0, known[t - 1], np.uint64(MARK)) if n else np.full(len(t), MARK, np.uint64)
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        # what stands for each token is named once: the part's known words, the unknown word and the mark
+        words, code = np.unique(np.append(known, np.uint64(MARK)), return_inverse=True)
+        t = code.astype(np.int32)[t - 1]  # 0 - 1 is the last, the mark
         first = np.zeros(len(t), bool)
         first[np.cumsum(self.lengths) - self.lengths] = True
-        self.after = np.flatnonzero(~first)  # every token but the mark at its text's beginning
-        self.doc = doc[self.after]
+        after = np.flatnonzero(~first)  # every token but the mark at its text's beginning
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths - 1)
+        before, here = t[after - 1], t[after]
+        del t, first, after
+        pairs, pair = np.unique(before.astype(np.int64) * len(words) + here, return_inverse=True)
+        pair = pair.astype(np.int32)
         # words and bigrams share one space of names, so that one exchange counts both
-        self.single = bigram(np.full(len(self.after), 0x5851F42D4C957F2D, np.uint64), self.known[self.after])
-        self.context = bigram(np.full(len(self.after), 0x5851F42D4C957F2D, np.uint64), self.known[self.after - 1])
-        self.pair = bigram(self.known[self.after - 1], self.known[self.after])
-        self.names, at = np.unique(np.concatenate([self.single, self.context, self.pair]), return_inverse=True)
-        self.at = at.reshape(3, -1)
+        single = bigram(np.full(len(words), 0x5851F42D4C957F2D, np.uint64), words)
+        self.names, at = np.unique(np.concatenate([single, bigram(words[pairs // len(words)], words[pairs % len(words)])]), return_inverse=True)
+        at = at.astype(np.int32)
+        self.at = np.stack([at[here], at[before], at[len(words) :][pair]])
 
     def counts(self) -> list[np.ndarray]:
         """How often each name occurs in the part's target texts, and in all of its texts."""
         target = self.hit[self.doc]
-        return [np.bincount(np.concatenate([self.at[0][w], self.at[2][w]]), minlength=len(self.names)).astype(np.uint64) for w in (target, slice(None))]
+        return [sum(np.bincount(self.at[j][w], minlength=len(self.names)) for j in (0, 2)).astype(np.uint64) for w in (target, slice(None))]
 
     def _own(self, which: int, of: int) -> np.ndarray:
         """How often the name at each place of ``which`` occurs among the names ``of`` in the place's own text."""
-        size = len(self.names)
-        keys, n = np.unique(self.doc * size + self.at[of], return_counts=True)
-        asked = self.doc * size + self.at[which]
-        at = np.searchsorted(keys, asked).clip(max=max(0, len(keys) - 1))
-        return np.where(keys[at] == asked, n[at], 0)
+        base = self.doc.astype(np.int64) * len(self.names)
+        keys, n = np.unique(base + self.at[of], return_counts=True)
+        base += self.at[which]
+        at = np.searchsorted(keys, base).clip(max=max(0, len(keys) - 1))
+        return np.where(keys[at] == base, n[at], 0).astype(np.int32)
 
     def losses(self, sums: list[np.ndarray], totals: list[int], size: int) -> list[np.ndarray]:
         """Each text's mean loss in either model, from which its own counts are taken."""
@@ -254,7 +261,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
         if not len(left):
             return pd.DataFrame({c.split()[0]: [] for c in totals.split(", ")})
         part = of(left.iloc[0], counts)
-        return deal(int(left["part"].iat[0]), part.names, part.counts(), buckets)
+        out = deal(int(left["part"].iat[0]), part.names, part.counts(), buckets)
+        del part
+        give_back()
+        return out
 
     sums = keep(exchange(texts.groupBy("part").cogroup(back.groupBy("part")).applyInPandas(both, totals), 2), f"{name}/counts")
     # the vocabulary's size and the models' numbers of tokens, from what each part holds
@@ -282,7 +292,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
         part = of(row, counts[counts["c1"].isna()])
         found = counts[counts["c1"].notna()]
         a, b = part.losses([answered(found, 0), answered(found, 1)], total, size)
-        return pd.DataFrame(dict(zip(columns, (pd.Series(list(row["ids"]), dtype=object), part.lengths - 2, a, b))))
+        lengths = part.lengths - 2
+        del part, found
+        give_back()
+        return pd.DataFrame(dict(zip(columns, (pd.Series(list(row["ids"]), dtype=object), lengths, a, b))))
 
     counts = sums.unionByName(back.withColumn("c1", F.lit(None).cast("binary")))
     got = texts.groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
